@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from askmill.operators import nested
+from askmill.operators import drift, nested
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -28,5 +28,18 @@ def _p1_flat(tag: str):
     return query
 
 
-QUERIES = {"p1_found": p1_found} | {f"p1_{tag}s": _p1_flat(tag) for tag in nested.SCHEMAS}
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    return drift.changes(drift.ingest(_table(spark, sf, "raw_predictions")))
+
+
+#: Promotions approved for the prediction files.
+ALIASES = {"gold": "gold_answer", "goldAnswer": "gold_answer", "query": "question", "question_text": "question", "response_text": "full_response", "cited": "sp", "evidence": "sp", "pred_text": "answer"}
+
+
+def p2_uniform(spark: SparkSession, sf: str) -> DataFrame:
+    """All records in one table; approved fields are replayed from the rescue column."""
+    return drift.replay(drift.ingest(_table(spark, sf, "raw_predictions")), ALIASES).drop("_fields")
+
+
+QUERIES = {"p2_found": p2_found, "p2_uniform": p2_uniform, "p1_found": p1_found} | {f"p1_{tag}s": _p1_flat(tag) for tag in nested.SCHEMAS}
 SQL: dict[str, str] = {}
