@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from askmill.llm import neardup
+from askmill.llm import neardup, neighbours
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -26,5 +26,15 @@ def p4_groups(spark: SparkSession, sf: str) -> DataFrame:
     return neardup.groups(*_p4(spark, sf))
 
 
-QUERIES = {"p4_found": p4_found, "p4_groups": p4_groups}
+def p5_nearest(spark: SparkSession, sf: str) -> DataFrame:
+    """(vec_id, other, sim): the 5 most similar others of each vector."""
+    return neighbours.nearest(_table(spark, sf, "dense_vectors"), "vec_id", "embedding", 64).withColumnRenamed("id", "vec_id")
+
+
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    pairs = neighbours.neighbour_pairs(p5_nearest(spark, sf).withColumnRenamed("vec_id", "id"))
+    return pairs.select(F.col("a").alias("vec_a"), F.col("b").alias("vec_b"))
+
+
+QUERIES = {"p5_found": p5_found, "p5_nearest": p5_nearest, "p4_found": p4_found, "p4_groups": p4_groups}
 SQL: dict[str, str] = {}
