@@ -157,10 +157,10 @@ def changes(ingested: DataFrame, run: str = "run_name", number: str = "file_no",
     keys = [run, number]
     parts = ingested.select(*keys, file, question, F.explode_outer("_fields").alias("f")).select(*keys, file, question, "f.*")
     parts = settle(parts, "drift")  # one parse; a record without fields keeps its file
-    files = parts.groupBy(*keys).agg(F.min(file).alias(file))
+    files = settle(parts.groupBy(*keys).agg(F.min(file).alias(file)), "drift-files")
     one = parts.where(F.col("field").isNotNull()).drop(file)
-    per = one.groupBy(*keys, "field").agg(F.array_sort(F.flatten(F.collect_set("kinds"))).alias("k"))
-    per = per.withColumn("k", F.array_sort(F.array_distinct("k")))
+    per = one.groupBy(*keys, "field").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("kinds")))).alias("k"))
+    per = settle(per, "drift-fields")  # a few rows per file, read by every branch below
     old = per.select(run, (F.col(number) + 1).alias(number), "field", F.col("k").alias("old_k"))
     pairs = files.select(*keys).join(files.select(run, (F.col(number) + 1).alias(number)), keys)
     both = old.join(per.withColumnRenamed("k", "new_k"), [*keys, "field"], "full").join(pairs, keys, "left_semi")
@@ -168,7 +168,7 @@ def changes(ingested: DataFrame, run: str = "run_name", number: str = "file_no",
     # an inner key counts only where its object is present under one name in both files
     shared = both.where(F.col("old_k").isNotNull() & F.col("new_k").isNotNull()).select(*keys, F.col("field").alias("outer"))
     inner = both.withColumn("outer", outer).where(F.col("outer").isNotNull()).join(shared, [*keys, "outer"], "left_semi").select(both.columns)
-    seen = both.where(outer.isNull()).unionByName(inner)
+    seen = settle(both.where(outer.isNull()).unionByName(inner), "drift-seen")
     retyped = seen.where((F.size("old_k") > 0) & (F.size("new_k") > 0) & (F.col("old_k") != F.col("new_k"))).select(*keys, F.lit("type_changed").alias("change"), "field", F.lit("").alias("new_field"))
     gone = seen.where(F.col("new_k").isNull()).select(*keys, F.col("field").alias("gone"), F.col("old_k"))
     come = seen.where(F.col("old_k").isNull()).select(*keys, F.col("field").alias("come"), F.col("new_k"))
@@ -182,6 +182,7 @@ def changes(ingested: DataFrame, run: str = "run_name", number: str = "file_no",
     # each name takes part in one renaming: the best for both sides, ties by name
     best = score.groupBy(*keys, "gone").agg(F.min_by("come", F.struct(-F.col("share"), F.col("come"))).alias("come"), F.max("share").alias("share"))
     renamed = best.groupBy(*keys, "come").agg(F.min_by("gone", F.struct(-F.col("share"), F.col("gone"))).alias("gone")).select(*keys, "gone", "come")
+    renamed = settle(renamed, "drift-renamed")
     went = gone.join(renamed, [*keys, "gone"], "left_anti").select(*keys, F.lit("removed").alias("change"), F.col("gone").alias("field"), F.lit("").alias("new_field"))
     came = come.join(renamed, [*keys, "come"], "left_anti").select(*keys, F.lit("added").alias("change"), F.col("come").alias("field"), F.lit("").alias("new_field"))
     moved = renamed.select(*keys, F.lit("renamed").alias("change"), F.col("gone").alias("field"), F.col("come").alias("new_field"))
