@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from askmill.llm import neardup, neighbours
+from askmill.llm import neardup, neighbours, truncation
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -36,5 +36,16 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     return pairs.select(F.col("a").alias("vec_a"), F.col("b").alias("vec_b"))
 
 
-QUERIES = {"p5_found": p5_found, "p5_nearest": p5_nearest, "p4_found": p4_found, "p4_groups": p4_groups}
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    judged = truncation.judge(_table(spark, sf, "documents"), "doc_id", "text", "source")
+    return judged.where("cut").select(F.col("id").alias("doc_id"))
+
+
+def p8_rates(spark: SparkSession, sf: str) -> DataFrame:
+    """How often each source cuts."""
+    docs = _table(spark, sf, "documents")
+    return truncation.rates(docs, truncation.judge(docs, "doc_id", "text", "source"), "source")
+
+
+QUERIES = {"p8_found": p8_found, "p8_rates": p8_rates, "p5_found": p5_found, "p5_nearest": p5_nearest, "p4_found": p4_found, "p4_groups": p4_groups}
 SQL: dict[str, str] = {}
