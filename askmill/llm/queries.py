@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from askmill.llm import neardup, neighbours, truncation
+from askmill.llm import neardup, neighbours, pairs, truncation
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -47,5 +47,17 @@ def p8_rates(spark: SparkSession, sf: str) -> DataFrame:
     return truncation.rates(docs, truncation.judge(docs, "doc_id", "text", "source"), "source")
 
 
-QUERIES = {"p8_found": p8_found, "p8_rates": p8_rates, "p5_found": p5_found, "p5_nearest": p5_nearest, "p4_found": p4_found, "p4_groups": p4_groups}
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    found = pairs.inspect(_table(spark, sf, "predictions"))
+    return found.where("defect IS NOT NULL").select(F.col("id").alias("pred_id"), "defect")
+
+
+def p3_by_run(spark: SparkSession, sf: str) -> DataFrame:
+    """Defects by run: (run_name, defect, pairs); sound pairs count under 'none'."""
+    rows = _table(spark, sf, "predictions")
+    found = pairs.inspect(rows).select(F.col("id").alias("pred_id"), F.coalesce("defect", F.lit("none")).alias("defect"))
+    return rows.select("pred_id", "run_name").join(found, "pred_id").groupBy("run_name", "defect").agg(F.count("*").alias("pairs"))
+
+
+QUERIES = {"p3_found": p3_found, "p3_by_run": p3_by_run, "p8_found": p8_found, "p8_rates": p8_rates, "p5_found": p5_found, "p5_nearest": p5_nearest, "p4_found": p4_found, "p4_groups": p4_groups}
 SQL: dict[str, str] = {}
