@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from askmill.llm import neardup, neighbours, pairs, truncation
+from askmill.llm import mixing, neardup, neighbours, packing, pairs, truncation
+from askmill.llm.tokens import TOKENIZER, count_tokens
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -59,5 +60,36 @@ def p3_by_run(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("pred_id", "run_name").join(found, "pred_id").groupBy("run_name", "defect").agg(F.count("*").alias("pairs"))
 
 
-QUERIES = {"p3_found": p3_found, "p3_by_run": p3_by_run, "p8_found": p8_found, "p8_rates": p8_rates, "p5_found": p5_found, "p5_nearest": p5_nearest, "p4_found": p4_found, "p4_groups": p4_groups}
+def _limits(spark: SparkSession, sf: str) -> dict[int, int]:
+    return {r.limit_id: r.capacity_tokens for r in _table(spark, sf, "pack_limits").collect()}  # the parameter table
+
+
+def p6_placement(spark: SparkSession, sf: str) -> DataFrame:
+    """The container of every document (of every piece of an oversized one) under each capacity."""
+    placed, _ = packing.place(packing.sizes(_table(spark, sf, "documents"), "doc_id", "text", TOKENIZER), _limits(spark, sf))
+    return placed.withColumnRenamed("id", "doc_id")
+
+
+def p6_unused(spark: SparkSession, sf: str) -> DataFrame:
+    """Containers and share of unused room of each capacity."""
+    return packing.unused(p6_placement(spark, sf), _limits(spark, sf))
+
+
+def _p7_chosen(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _table(spark, sf, "documents").where("doc_id IS NOT NULL")
+    sized = count_tokens(docs.select(F.col("doc_id").alias("id"), "text", truncation.source_name(F.col("source")).alias("source")), keep=["source"])
+    return mixing.choose(sized, _table(spark, sf, "mix_targets"))
+
+
+def p7_chosen(spark: SparkSession, sf: str) -> DataFrame:
+    """The documents of each mix with their repeat counts."""
+    return _p7_chosen(spark, sf).withColumnRenamed("id", "doc_id")
+
+
+def p7_shares(spark: SparkSession, sf: str) -> DataFrame:
+    """The share each source of each mix really reached."""
+    return mixing.shares(_p7_chosen(spark, sf), _table(spark, sf, "mix_targets"))
+
+
+QUERIES = {"p6_placement": p6_placement, "p6_unused": p6_unused, "p7_chosen": p7_chosen, "p7_shares": p7_shares, "p3_found": p3_found, "p3_by_run": p3_by_run, "p8_found": p8_found, "p8_rates": p8_rates, "p5_found": p5_found, "p5_nearest": p5_nearest, "p4_found": p4_found, "p4_groups": p4_groups}
 SQL: dict[str, str] = {}
