@@ -100,11 +100,12 @@ def breakdown(a: DataFrame, by: str) -> DataFrame:
 
 def fact_errors(a: DataFrame) -> DataFrame:
     p, g = F.array_distinct("sp"), F.array_distinct("gold_sp")
-    pt = F.transform("sp", lambda f: f["t"])
+    name = lambda f: F.coalesce(f["t"], F.lit("\x01"))  # noqa: E731  (two missing titles are the same)
+    pt = F.transform("sp", name)
     equal = (F.size(F.array_except(p, g)) == 0) & (F.size(F.array_except(g, p)) == 0)
     some = F.size("sp") > 0
-    near = F.size(F.filter("gold_sp", lambda f: F.array_contains(pt, f["t"]) & ~F.array_contains(p, f)))
-    missing = F.size(F.filter("gold_sp", lambda f: ~F.array_contains(pt, f["t"]))) > 0
+    near = F.size(F.filter("gold_sp", lambda f: F.array_contains(pt, name(f)) & ~F.array_contains(p, f)))
+    missing = F.size(F.filter("gold_sp", lambda f: ~F.array_contains(pt, name(f)))) > 0
     count = lambda c: F.count_if(c)
     return a.groupBy("run_name").agg(count(equal).alias("sp_correct"), count(~some).alias("sp_empty"), count(some & (F.size("sp") < F.size("gold_sp"))).alias("too_few"), count(some & (F.size("sp") > F.size("gold_sp"))).alias("too_many"), F.sum(F.when(some & ~equal, near).otherwise(0)).alias("wrong_index_facts"), count(some & missing).alias("missing_title"), F.round(F.avg(F.size("sp")), 6).alias("avg_pred"), F.round(F.avg(F.size("gold_sp")), 6).alias("avg_gold"))
 
