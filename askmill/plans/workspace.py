@@ -7,6 +7,8 @@ running tasks.  Only a session without that setting (tests, a laptop) gets a fol
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -22,9 +24,10 @@ def shared_dir(spark: SparkSession) -> str:
         return known.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError(f"set {SETTING} to a folder that all executors share")
-    made = "file://" + tempfile.mkdtemp(prefix="askmill-")
-    spark.conf.set(SETTING, made)
-    return made
+    folder = tempfile.mkdtemp(prefix="askmill-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    spark.conf.set(SETTING, "file://" + folder)
+    return "file://" + folder
 
 
 def settle(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
