@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,6 +16,11 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, rf"^{SPACE}+|{SPACE}+$", "")
 
 
+def let(c: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(c)`` with ``c`` computed once, however often it is used."""
+    return F.get(F.transform(F.array(c), use), F.lit(0))
+
+
 def integer_text(c: Column) -> Column:
     """BIGINT of a text that holds just an integer, else NULL."""
     t = strip(c)
@@ -112,11 +119,11 @@ def normalize_generated(answer: Column) -> Column:
     for pattern in PREAMBLES:
         out = F.regexp_replace(out, f"(?i){pattern}", "")
     short = lambda c: F.size(words(c)) <= 5
-    out = F.when(short(out), F.regexp_replace(out, r"(?i)^(?:the|a|an)\s+", "")).otherwise(out)
-    out = F.when(short(out) & out.endswith("."), strip(F.regexp_replace(out, r"\.$", ""))).otherwise(out)
-    out = F.when(short(out), F.regexp_replace(out, r"[.,;:!?]+$", "")).otherwise(out)
-    low = strip(F.lower(out))
-    return strip(F.when(low.isin("yes", "no", "noanswer"), low).otherwise(out))
+    no_article = lambda c: F.when(short(c), F.regexp_replace(c, r"(?i)^(?:the|a|an)\s+", "")).otherwise(c)
+    no_stop = lambda c: F.when(short(c) & c.endswith("."), strip(F.regexp_replace(c, r"\.$", ""))).otherwise(c)
+    no_mark = lambda c: F.when(short(c), F.regexp_replace(c, r"[.,;:!?]+$", "")).otherwise(c)
+    plain = lambda c: let(strip(F.lower(c)), lambda low: strip(F.when(low.isin("yes", "no", "noanswer"), low).otherwise(c)))
+    return let(let(let(let(out, no_article), no_stop), no_mark), plain)
 
 
 def without_thoughts(c: Column) -> Column:
@@ -149,7 +156,7 @@ def numeric_answer(answer: Column, question: Column, evidence: Column) -> Column
     return F.when(asks & ~answer.rlike(r"\d"), F.coalesce(*in_context, odd, F.get(numbers, F.lit(0)), answer)).otherwise(answer)
 
 
-def bridge_entities(title: Column, sentences: Column, question: Column, most: int = 5) -> Column:
+def bridge_entities(title: Column, sentences: Column, question: Column, most: int = 3) -> Column:
     """Names of a passage that may lead to another: its title, then capitalised phrases, acronyms, names inside
     sentences and the first three brackets that the question doesn't mention."""
     text = joined_text(sentences)

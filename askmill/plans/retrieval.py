@@ -154,7 +154,7 @@ def fuzzy_title_topk(spark: SparkSession, sf: str) -> DataFrame:
 def multihop(spark: SparkSession, sf: str) -> DataFrame:
     hop1 = _hop1(spark, sf)
     entities = settle(_entities(spark, sf, hop1), "entities")
-    more = entities.groupBy("query_id").agg(F.array_join(F.slice(F.transform(F.array_sort(F.collect_list(F.struct("pos", "entity"))), lambda x: x["entity"]), 1, 5), " ").alias("more"))
+    more = entities.groupBy("query_id").agg(F.array_join(F.slice(F.transform(F.array_sort(F.collect_list(F.struct("pos", "entity"))), lambda x: x["entity"]), 1, 3), " ").alias("more"))
     again_q = questions(spark, sf).join(more, "query_id").select("query_id", F.concat("question", F.lit(" "), "more").alias("question"), "type")
     again = R.fuse(_keywords(spark, sf, POOL, again_q), _dense(spark, sf, POOL), POOL, F.lit(ALPHAS["alpha"]), TOP)
     members = _t(spark, sf, "passages").select(X.strip("title").alias("title"), F.col("passage_idx").alias("id"))
