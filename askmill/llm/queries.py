@@ -92,4 +92,13 @@ def p7_shares(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {"p6_placement": p6_placement, "p6_unused": p6_unused, "p7_chosen": p7_chosen, "p7_shares": p7_shares, "p3_found": p3_found, "p3_by_run": p3_by_run, "p8_found": p8_found, "p8_rates": p8_rates, "p5_found": p5_found, "p5_nearest": p5_nearest, "p4_found": p4_found, "p4_groups": p4_groups}
-SQL: dict[str, str] = {}
+SQL = {
+    "p4_found": r"""WITH w AS (SELECT passage_idx, list_distinct(regexp_extract_all(lower(coalesce(title, '') || chr(10) || coalesce(array_to_string(sentences, chr(10)), '')), '[\p{L}\p{N}]+')) ws FROM passages),
+k AS (SELECT * FROM w WHERE len(ws) >= 20), u AS (SELECT passage_idx, len(ws) n, unnest(ws) x FROM k),
+p AS (SELECT a.passage_idx passage_a, b.passage_idx passage_b, count(*) c, any_value(a.n) na, any_value(b.n) nb FROM u a JOIN u b ON a.x = b.x AND a.passage_idx < b.passage_idx GROUP BY ALL)
+SELECT passage_a, passage_b FROM p WHERE c >= 0.7 * (na + nb - c)""",
+    "p5_found": """WITH v0 AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) e FROM dense_vectors WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+v AS (SELECT vec_id, list_transform(e, lambda x: x / sqrt(list_sum(list_transform(e, lambda y: y * y)))) u FROM v0),
+n AS (SELECT a.vec_id a, b.vec_id b FROM v a JOIN v b ON a.vec_id <> b.vec_id QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY list_dot_product(a.u, b.u) DESC, b.vec_id) <= 5)
+SELECT DISTINCT least(a, b) vec_a, greatest(a, b) vec_b FROM n""",
+}
