@@ -171,3 +171,10 @@ def bridge_entities(title: Column, sentences: Column, question: Column, most: in
     keep = F.filter(F.array_distinct(clean), lambda e: ~F.contains(F.lower(question), F.lower(e)) & (F.length(e) > 1) & ~e.eqNullSafe(title))
     head = F.when(F.coalesce(strip(title), F.lit("")) != "", F.array(title)).otherwise(F.array().cast("array<string>"))
     return F.slice(F.concat(head, keep), 1, most)
+
+
+def match_sentence(sentences: Column, selected: Column) -> Column:
+    """Index of the first sentence that equals the selected one, or begins with its first 50 letters; NULL if none."""
+    head = F.substring(strip(selected), 1, 50)
+    hit = F.transform(sentences, lambda s: F.coalesce((strip(s) == strip(selected)) | strip(s).startswith(head), F.lit(False)))
+    return F.nullif(F.array_position(hit, F.lit(True)), F.lit(0)) - 1

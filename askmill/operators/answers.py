@@ -64,7 +64,8 @@ def parse_response(response: Column, mapping: Column, passages: Column | None =
             cited = F.transform(pairs, lambda p: F.struct(name(p).alias("title"), X.integer_text(F.get(p, F.lit(1))).cast("int").alias("sentence_index")).cast(FACT))
             return out(F.coalesce(X.strip(o["answer"]), F.lit("")), X.let(numbers, lambda n: F.when(F.size(n) > 0, n).otherwise(F.coalesce(cited, _no_facts()))), 1)
 
-        return X.let(F.from_json(F.nullif(F.regexp_extract(clean, OBJECT, 0), F.lit("")), PARSED), of)
+        whole = lambda j: F.when(F.try_parse_json(j).isNotNull(), F.from_json(j, PARSED))  # noqa: E731  (from_json alone takes parts)
+        return X.let(X.let(F.nullif(F.regexp_extract(clean, OBJECT, 0), F.lit("")), whole), of)
 
     def stage2(clean: Column) -> Column:
         numbers = F.regexp_extract_all(F.regexp_extract(clean, r'"supporting_fact(?:s|_numbers?)"\s*:\s*\[([^\]]*)\]', 1), F.lit(r"(\d+)"), 1)

@@ -7,11 +7,14 @@ number), as a keyed object would keep it.  NULL answers count as empty, NULL fac
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from askmill.functions import scores as S
 from askmill.functions import text as X
+from askmill.operators.retrieval import token_set_ratio
+from askmill.plans.workspace import settle
 
 #: Answers that mean a failed run, and those that mean an abstention (compared in lower case).
 FAILED = ["Error occurred during processing.", "Cannot answer based on the provided evidence.", ""]
@@ -120,7 +123,7 @@ def verification_report(a: DataFrame, *by: str) -> DataFrame:
     v, em = F.col("verification"), F.col("em").cast("double")
     rate = lambda ok: F.round(F.avg(F.when(v["is_supported"] == ok, em)), 6)
     r6 = lambda c: F.round(c, 6)
-    return a.groupBy("run_name", *by).agg(F.count_if(v.isNull()).alias("skipped"), F.count_if(v["is_supported"]).alias("supported"), F.count_if(~v["is_supported"]).alias("unsupported"), r6(F.avg(v["support_score"])).alias("avg_support"), r6(F.min(v["support_score"])).alias("min_support"), r6(F.max(v["support_score"])).alias("max_support"), rate(True).alias("em_supported"), rate(False).alias("em_unsupported"), (rate(True) - rate(False)).alias("em_gap"))
+    return a.groupBy("run_name", *by).agg(F.count_if(v.isNull()).alias("skipped"), F.count_if(v["is_supported"]).alias("supported"), F.count_if(~v["is_supported"]).alias("unsupported"), r6(F.avg(v["support_score"])).alias("avg_support"), r6(F.min(v["support_score"])).alias("min_support"), r6(F.max(v["support_score"])).alias("max_support"), rate(True).alias("em_supported"), rate(False).alias("em_unsupported"), r6(rate(True) - rate(False)).alias("em_gap"))
 
 
 def worst_answers(a: DataFrame, k: int = 15) -> DataFrame:
@@ -140,3 +143,34 @@ def false_negatives(a: DataFrame, k: int = 5) -> DataFrame:
 def run_counts(predictions: DataFrame) -> DataFrame:
     a = F.coalesce("answer", F.lit(""))
     return predictions.groupBy("run_name").agg(F.count("*").alias("rows"), F.count_if(X.strip(a) == "").alias("empty"), F.count_if(a.isin(FAILED)).alias("failed"), F.count_if(X.strip(F.lower(a)).isin(ABSTAINED)).alias("abstained"))
+
+
+def fuzzy_metrics(m: DataFrame, threshold: float = 75.0) -> DataFrame:
+    """Token-set similarity of answers by run: mean, near misses and misses; and of titles, the best for each gold title.
+
+    The similarity has no built-in form; a pandas function computes it batch by batch.
+    """
+    @F.pandas_udf("double")
+    def similar(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([token_set_ratio(x, y) for x, y in zip(a, b)], dtype="float64")
+
+    own = F.coalesce(F.nullif("gold_answer", F.lit("")), "gold", F.lit(""))
+    ok = m.where(~F.col("answer").isin(FAILED)).withColumn("own", own)
+    ok = ok.withColumns({"s": similar(F.lower("answer"), F.lower("own")), "em": X.normalize_custom(F.col("answer")) == X.normalize_custom(F.col("own"))})
+    answers = ok.groupBy("run_name").agg(F.round(F.avg(F.col("s") / 100), 6).alias("fuzzy_valid"), F.count_if(~F.col("em") & (F.col("s") >= threshold)).alias("close"), F.count_if(~F.col("em") & (F.col("s") < threshold)).alias("wrong"))
+    @F.pandas_udf("double")
+    def similar_sets(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([sum(max(token_set_ratio(x, y) for y in ys) for x in xs) / len(xs) if len(xs) and len(ys) else 0.0 for xs, ys in zip(a, b)], dtype="float64")
+
+    titles = lambda c: F.array_distinct(F.transform(F.filter(c, lambda f: f["t"].isNotNull()), lambda f: F.lower(f["t"])))
+    # written first: Spark doesn't evaluate a Python function over higher-order functions
+    sets = settle(ok.where("gold IS NOT NULL").select("run_name", titles(F.col("gold_sp")).alias("g"), titles(F.col("sp")).alias("p")), "titles")
+    pairs = sets.select("run_name", similar_sets("g", "p").alias("s"))
+    return answers.join(pairs.groupBy("run_name").agg(F.round(F.avg(F.col("s") / 100), 6).alias("title_fuzzy")), "run_name", "left")
+
+
+def model_similarity(m: DataFrame, scorer) -> DataFrame:
+    """Mean of a model's similarity of answer and gold by run, and the shares of all rows at or above three marks."""
+    ok = F.col("answer").isin(FAILED)
+    s = m.withColumn("s", F.when(~ok, scorer(F.col("answer"), F.coalesce(F.nullif("gold_answer", F.lit("")), "gold", F.lit("")))))
+    return s.groupBy("run_name").agg(F.round(F.avg("s"), 6).alias("mean"), *(F.round(F.avg(F.coalesce((F.col("s") >= x).cast("double"), F.lit(0.0))), 6).alias(f"ge{int(x * 100)}") for x in (0.9, 0.85, 0.8)))

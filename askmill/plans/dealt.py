@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from askmill.operators import drift, nested
 
@@ -38,8 +39,22 @@ ALIASES = {"gold": "gold_answer", "goldAnswer": "gold_answer", "query": "questio
 
 def p2_uniform(spark: SparkSession, sf: str) -> DataFrame:
     """All records in one table; approved fields are replayed from the rescue column."""
-    return drift.replay(drift.ingest(_table(spark, sf, "raw_predictions")), ALIASES).drop("_fields")
+    return drift.replay(drift.ingest(_table(spark, sf, "raw_predictions")), ALIASES).drop("_fields").withColumn("_rescued", F.to_json("_rescued"))
 
 
 QUERIES = {"p2_found": p2_found, "p2_uniform": p2_uniform, "p1_found": p1_found} | {f"p1_{tag}s": _p1_flat(tag) for tag in nested.SCHEMAS}
-SQL: dict[str, str] = {}
+_S = lambda x: rf"regexp_replace({x}, '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g')"
+_TEXT = lambda j: f"CASE WHEN json_type({j}) = 'VARCHAR' THEN json_extract_string({j}, '$') END"
+_ENTRY = lambda e, key: f"CASE WHEN json_type({e}) = 'ARRAY' AND json_array_length({e}) = 2 THEN json_extract({e}, '$[{'0' if key == 'title' else '1'}]') WHEN json_type({e}) = 'OBJECT' THEN json_extract({e}, '$.{key}') END"
+_P1 = f"""WITH r AS (SELECT row_id, CASE WHEN json_valid(payload) THEN payload::JSON END j FROM raw_examples),
+rc AS (SELECT row_id, unnest(json_extract(j, '$.context[*]')) e, generate_subscripts(json_extract(j, '$.context[*]'), 1) - 1 cp FROM r WHERE json_type(j, '$.context') = 'ARRAY'),
+rc2 AS (SELECT row_id, cp, {_ENTRY('e', 'title')} t, {_ENTRY('e', 'sentences')} s FROM rc),
+rf AS (SELECT row_id, unnest(json_extract(j, '$.supporting_facts[*]')) e, generate_subscripts(json_extract(j, '$.supporting_facts[*]'), 1) - 1 fp FROM r WHERE json_type(j, '$.supporting_facts') = 'ARRAY'),
+rf2 AS (SELECT row_id, fp, {_ENTRY('e', 'title')} t, {_ENTRY('e', 'sentence_index')} i FROM rf),
+c AS (SELECT row_id, cp, {_S(_TEXT('t'))} t, list_transform(json_extract(s, '$[*]'), lambda x: {_TEXT('x')}) s FROM rc2 WHERE json_type(s) = 'ARRAY'
+ UNION ALL SELECT row_id, cp, {_S('c.title')}, c.sentences FROM (SELECT row_id, unnest(contexts) c, generate_subscripts(contexts, 1) - 1 cp FROM examples)),
+f AS (SELECT row_id, fp, {_S(_TEXT('t'))} t, CASE WHEN json_type(i) IN ('UBIGINT', 'BIGINT') THEN i::VARCHAR::BIGINT WHEN regexp_matches({_S(_TEXT('i'))}, '^[+-]?[0-9]{{1,18}}$') THEN {_S(_TEXT('i'))}::BIGINT END i FROM rf2
+ UNION ALL SELECT row_id, fp, {_S('f.title')}, f.sentence_index::BIGINT FROM (SELECT row_id, unnest(supporting_facts) f, generate_subscripts(supporting_facts, 1) - 1 fp FROM examples))
+SELECT f.row_id, fp fact_pos, cp context_pos, i sentence_pos FROM f JOIN c ON c.row_id = f.row_id AND c.t = f.t WHERE f.t <> '' AND i >= 0 AND i < len(s) AND s[i + 1] IS NOT NULL"""
+
+SQL = {"p1_found": _P1}

@@ -58,6 +58,7 @@ QUERIES = {
     "verification_by_type": _over(lambda a: O.verification_report(a, "type")),
     "worst_answers": _over(O.worst_answers),
     "false_negatives": _over(O.false_negatives),
+    "fuzzy_metrics": lambda s, sf: O.fuzzy_metrics(_matched(s, sf, "left")),
     "run_counts": lambda s, sf: O.run_counts(_t(s, sf, "predictions")),
     "normalized_answers": normalized,
     "normalize_generated": generated,
@@ -89,7 +90,7 @@ _FAILED = "('Error occurred during processing.', 'Cannot answer based on the pro
 _VER = """SELECT run_name, {0} count(*) FILTER (verification IS NULL) skipped, count(*) FILTER (verification.is_supported) supported, count(*) FILTER (NOT verification.is_supported) unsupported,
  round(avg(verification.support_score), 6) avg_support, round(min(verification.support_score), 6) min_support, round(max(verification.support_score), 6) max_support,
  round(avg(em) FILTER (verification.is_supported), 6) em_supported, round(avg(em) FILTER (NOT verification.is_supported), 6) em_unsupported,
- round(avg(em) FILTER (verification.is_supported), 6) - round(avg(em) FILTER (NOT verification.is_supported), 6) em_gap FROM a GROUP BY ALL"""
+ round(round(avg(em) FILTER (verification.is_supported), 6) - round(avg(em) FILTER (NOT verification.is_supported), 6), 6) em_gap FROM a GROUP BY ALL"""
 _C_MARKS = r"""regexp_replace({0}, '[!-/:-@\[-`{{-~]', '', 'g')"""
 _ASCII_ART = r"""regexp_replace(lower({0}), '(^|[^\w\x{{80}}-\x{{10FFFF}}])(a|an|the)($|[^\w\x{{80}}-\x{{10FFFF}}])', '\1 \3', 'g')"""
 

@@ -1,0 +1,30 @@
+import os
+
+import pytest
+from compare import both
+from conftest import SF
+
+from askmill.plans import answering, dealt, retrieval, scoring
+
+QUERIES = dealt.QUERIES | scoring.QUERIES | retrieval.QUERIES | answering.QUERIES
+SQL = dealt.SQL | scoring.SQL | retrieval.SQL | answering.SQL
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+@pytest.mark.parametrize("name", sorted(SQL))
+def test_query_equals_sql(spark, name):
+    got, want = both(spark, SF, QUERIES[name], SQL[name])
+    assert got == want
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
+def test_query_runs(spark, name):
+    assert QUERIES[name](spark, SF).count() >= 0
+
+
+def test_entry(spark):
+    import __spark_entry__ as e
+
+    assert set(e.oracle_sql()) <= set(e.queries())
+    assert e.entry(spark).columns == ["row_id", "fact_pos", "context_pos", "sentence_pos"]
