@@ -123,7 +123,7 @@ def verification_report(a: DataFrame, *by: str) -> DataFrame:
     v, em = F.col("verification"), F.col("em").cast("double")
     rate = lambda ok: F.round(F.avg(F.when(v["is_supported"] == ok, em)), 6)
     r6 = lambda c: F.round(c, 6)
-    return a.groupBy("run_name", *by).agg(F.count_if(v.isNull()).alias("skipped"), F.count_if(v["is_supported"]).alias("supported"), F.count_if(~v["is_supported"]).alias("unsupported"), r6(F.avg(v["support_score"])).alias("avg_support"), r6(F.min(v["support_score"])).alias("min_support"), r6(F.max(v["support_score"])).alias("max_support"), rate(True).alias("em_supported"), rate(False).alias("em_unsupported"), r6(rate(True) - rate(False)).alias("em_gap"))
+    return a.groupBy("run_name", *by).agg(F.count_if(v.isNull()).alias("skipped"), F.count_if(v["is_supported"]).alias("supported"), F.count_if(~v["is_supported"]).alias("unsupported"), F.round(F.avg(v["support_score"]), 9).alias("avg_support"), r6(F.min(v["support_score"])).alias("min_support"), r6(F.max(v["support_score"])).alias("max_support"), rate(True).alias("em_supported"), rate(False).alias("em_unsupported"), r6(rate(True) - rate(False)).alias("em_gap"))
 
 
 def worst_answers(a: DataFrame, k: int = 15) -> DataFrame:

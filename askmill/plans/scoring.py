@@ -88,7 +88,7 @@ a AS (SELECT *, low IN ('yes','no') said, CASE WHEN em = 1 THEN 'correct' WHEN l
 _AVG = ", ".join(f"round(avg({k}), 6) {k}" for k in O.METRICS)
 _FAILED = "('Error occurred during processing.', 'Cannot answer based on the provided evidence.', '')"
 _VER = """SELECT run_name, {0} count(*) FILTER (verification IS NULL) skipped, count(*) FILTER (verification.is_supported) supported, count(*) FILTER (NOT verification.is_supported) unsupported,
- round(avg(verification.support_score), 6) avg_support, round(min(verification.support_score), 6) min_support, round(max(verification.support_score), 6) max_support,
+ round(avg(verification.support_score), 9) avg_support, round(min(verification.support_score), 6) min_support, round(max(verification.support_score), 6) max_support,
  round(avg(em) FILTER (verification.is_supported), 6) em_supported, round(avg(em) FILTER (NOT verification.is_supported), 6) em_unsupported,
  round(round(avg(em) FILTER (verification.is_supported), 6) - round(avg(em) FILTER (NOT verification.is_supported), 6), 6) em_gap FROM a GROUP BY ALL"""
 _C_MARKS = r"""regexp_replace({0}, '[!-/:-@\[-`{{-~]', '', 'g')"""
