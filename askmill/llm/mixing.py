@@ -99,4 +99,4 @@ def shares(chosen: DataFrame, targets: DataFrame) -> DataFrame:
     got = chosen.groupBy("mix_name", "source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("tokens"), F.count("*").alias("documents"), F.max("copies").alias("most_copies"))
     total = Window.partitionBy("mix_name")
     rows = targets.select("mix_name", source_name(F.col("source")).alias("source"), "target_share").join(got, ["mix_name", "source"], "left").fillna(0, ["tokens", "documents", "most_copies"])
-    return rows.select("mix_name", "source", "target_share", F.coalesce(F.col("tokens") / F.sum("tokens").over(total), F.lit(0.0)).alias("actual_share"), "tokens", "documents", "most_copies")
+    return rows.select("mix_name", "source", "target_share", F.coalesce(F.try_divide("tokens", F.sum("tokens").over(total)), F.lit(0.0)).alias("actual_share"), "tokens", "documents", "most_copies")

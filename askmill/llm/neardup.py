@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from askmill.plans.workspace import settle
 
 BOXES = 8
+SHORT = 256
 SEGMENTS = 4
 COUNTERS = 1 << 18
 
@@ -66,17 +67,37 @@ def frequencies(rows: DataFrame) -> np.ndarray:
     return out
 
 
+def level(n: int, t: float) -> int:
+    """Sets up to SHORT words are on level 0; each further level is 1/t longer, so partners are at most one apart."""
+    return 0 if n <= SHORT else 1 + int(np.log(n / SHORT) / np.log(1 / t)) if t < 1 else n
+
+
+def boxes(at: int, t: float) -> int:
+    """Boxes of a level: so many that a box keeps a few words of a prefix, however long the sets."""
+    return BOXES if at == 0 else max(BOXES, int((1 - t) * 0.4 * SHORT * (1 / t) ** (at - 1) if t < 1 else 0))
+
+
 def _box_keys(words: np.ndarray, counts: np.ndarray, t: float) -> np.ndarray:
     n = len(words)
     order = np.lexsort((words, counts[words % COUNTERS]))
-    prefix = words[order[: n - int(np.ceil(t * n - 1e-9)) + BOXES + 1]]
-    box = (prefix.view(np.uint64) >> np.uint64(40)) % np.uint64(BOXES)
+    least = int(np.ceil(t * n - 1e-9))
+    own = level(n, t)
     keys = []
-    for b in range(BOXES):
-        own = np.sort(prefix[box == b])
-        if len(own) > 1:
-            i, j = np.triu_indices(len(own), 1)
-            keys.append(own[i] * np.int64(-7046029254386353131) + own[j] * np.int64(6364136223846793005) + np.int64(b))
+    for at in dict.fromkeys((own, level(int(n / t + 1e-9), t))):
+        m = boxes(at, t)
+        prefix = words[order[: n - least + m + 1]]
+        box = ((prefix.view(np.uint64) >> np.uint64(24)) % np.uint64(m)).astype(np.int64)
+        by = np.lexsort((prefix, box))
+        prefix, box = prefix[by], box[by]
+        step = 1
+        while step < len(prefix):  # pairs of one box, by distance in it
+            same = box[step:] == box[:-step]
+            if not same.any():
+                break
+            keys.append(prefix[:-step][same] * np.int64(-7046029254386353131) + prefix[step:][same] * np.int64(6364136223846793005) + box[step:][same] * np.int64(2862933555777941757) + np.int64(at))
+            step += 1
+    if least <= BOXES:  # too few common words for a full box: any one of the rarest
+        keys.append(words[order[: n - least + 1]] ^ np.int64(0x5DEECE66D))
     return np.unique(np.concatenate(keys)) if keys else np.empty(0, np.int64)
 
 
