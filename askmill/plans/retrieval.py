@@ -37,9 +37,9 @@ def bm25_idf(spark: SparkSession, sf: str) -> DataFrame:
     return idf.select("term", "df", F.round("idf", 6).alias("idf"))
 
 
-def _keywords(spark: SparkSession, sf: str, k: int, q: DataFrame | None = None) -> DataFrame:
+def _keywords(spark: SparkSession, sf: str, k: int, q: DataFrame | None = None, weights: DataFrame | None = None) -> DataFrame:
     p = _t(spark, sf, "passages")
-    return R.best_by_keywords(R.weighted(p, "passage_idx", _text()), p, "passage_idx", q if q is not None else questions(spark, sf), "query_id", F.col("question"), k)
+    return R.best_by_keywords(R.weighted(p, "passage_idx", _text()) if weights is None else weights, p, "passage_idx", q if q is not None else questions(spark, sf), "query_id", F.col("question"), k)
 
 
 def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
@@ -63,9 +63,7 @@ def dense_topk(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _fused(spark: SparkSession, sf: str) -> DataFrame:
-    q = questions(spark, sf).select("query_id", "type")
-    both = R.fuse(_keywords(spark, sf, POOL).join(q, "query_id"), _dense(spark, sf, POOL), POOL, F.lit(ALPHAS["alpha"]), TOP)
-    return both
+    return R.fuse(_keywords(spark, sf, POOL), _dense(spark, sf, POOL), POOL, F.lit(ALPHAS["alpha"]), TOP)
 
 
 def rrf_fusion(spark: SparkSession, sf: str) -> DataFrame:
@@ -128,10 +126,6 @@ def bridge_entities(spark: SparkSession, sf: str) -> DataFrame:
     return e.select("row_id", "pos", F.posexplode(X.bridge_entities(F.col("c.title"), F.col("c.sentences"), F.col("q"))).alias("place", "entity"))
 
 
-def _hop1(spark: SparkSession, sf: str) -> DataFrame:
-    return settle(_fused(spark, sf), "hop1")
-
-
 def _entities(spark: SparkSession, sf: str, hop1: DataFrame) -> DataFrame:
     """(query_id, pos, entity) of the five best passages of each question."""
     p = _t(spark, sf, "passages").select(F.col("passage_idx").alias("id"), "title", "sentences")
@@ -152,11 +146,15 @@ def fuzzy_title_topk(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def multihop(spark: SparkSession, sf: str) -> DataFrame:
-    hop1 = _hop1(spark, sf)
+    p = _t(spark, sf, "passages")
+    weights = settle(R.weighted(p, "passage_idx", _text()), "weights")
+    dense = settle(_dense(spark, sf, POOL), "dense")
+    fused = lambda q: R.fuse(_keywords(spark, sf, POOL, q, weights), dense, POOL, F.lit(ALPHAS["alpha"]), TOP)
+    hop1 = settle(fused(questions(spark, sf)), "hop1")
     entities = settle(_entities(spark, sf, hop1), "entities")
     more = entities.groupBy("query_id").agg(F.array_join(F.slice(F.transform(F.array_sort(F.collect_list(F.struct("pos", "entity"))), lambda x: x["entity"]), 1, 3), " ").alias("more"))
     again_q = questions(spark, sf).join(more, "query_id").select("query_id", F.concat("question", F.lit(" "), "more").alias("question"), "type")
-    again = R.fuse(_keywords(spark, sf, POOL, again_q), _dense(spark, sf, POOL), POOL, F.lit(ALPHAS["alpha"]), TOP)
+    again = settle(fused(again_q), "again")
     members = _t(spark, sf, "passages").select(X.strip("title").alias("title"), F.col("passage_idx").alias("id"))
     return R.second_hop(hop1, entities, _titles(spark, sf), members, again, TOP).select("query_id", F.col("id").alias("passage_idx"), F.round("score", 6).alias("score"), "rank", "hop")
 
