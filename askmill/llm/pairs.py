@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from askmill.llm import tails
-from askmill.llm.truncation import cut_word
+from askmill.llm.truncation import cut_place, cut_word
 from askmill.plans.workspace import settle
 
 # Phrases that refuse, by language (plain text: lower case, no marks but the apostrophe).
@@ -263,9 +263,20 @@ def unfinished(response: str) -> bool:
     return quoted or bool(stack) or (text.startswith("[SP:") and "[ANS:" not in text)
 
 
+_STATED = re.compile(r'"answer"\s*:\s*"((?:[^"\\]|\\.)*)"|(?:^|\n)[^\n]{0,30}?answer(?: is)?\s*[:\-–]\s*([^\n]+)', re.IGNORECASE)
+
+
+def stated(response: str) -> str | None:
+    """The answer that a response states last."""
+    found = _STATED.findall(response)
+    return (found[-1][0] or found[-1][1]).strip() if found else None
+
+
 def shortened(answer: str, response: str) -> bool:
-    """Wherever the response says the answer, the word goes on."""
-    a = answer.strip()
+    """The response states more than the answer: its stated answer goes on, or every mention is inside a word."""
+    a, s = answer.strip(), stated(response)
+    if a and s and s.startswith(a) and re.search(r"[^\W_]", s[len(a) :]) and a[-1] not in ".!?":
+        return True
     if len(a) < 4 or not a[-1].isalnum():
         return False
     at, found = response.find(a), False
@@ -318,9 +329,20 @@ def inspect(df: DataFrame, id_col: str = "pred_id", question: str = "question",
     tail = settle(tails.tails(ends), "pair-tails")
     found = tails.judged(tail, tails.counts(corpus, tail))
     bare = F.coalesce(F.col("suffix").rlike(r"^[\s,;:\-–—/&(\[{«“]*(\.\.\.|…)?$"), F.lit(False))
+    # what is a gold answer somewhere is whole; what is a proper beginning of its own gold answer isn't
+    plain_of = lambda c: F.lower(F.trim(F.col(c)))
+    golds = rows.select(F.explode(F.array(*(plain_of(f"k{i}") for i in range(len(known))))).alias("t")).where("t <> ''").groupBy("t").agg(F.count("*").alias("whole")) if known else None
+    asked = rows.select("id", plain_of("a").alias("t"), *(plain_of(f"k{i}").alias(f"g{i}") for i in range(len(known))))
+    begins = F.lit(False)
+    for i in range(len(known)):
+        begins = begins | F.coalesce((F.length("t") > 1) & (F.length("t") < F.length(f"g{i}")) & F.startswith(f"g{i}", "t"), F.lit(False))
+    asked = asked.withColumn("begins", begins)
+    asked = (asked.join(golds, "t", "left") if known else asked.withColumn("whole", F.lit(None).cast("bigint"))).select("id", "begins", F.col("whole").isNotNull().alias("whole"))
     # one word alone says nothing about places, and one letter may be the answer
-    cut = F.col("broken") | (bare & F.when(F.col("single"), cut_word() & (F.length("word") > 1)).otherwise(cut_word() | F.coalesce(F.col("p_end") < ENDS, F.lit(False))))
+    cut = F.col("broken") | (bare & F.when(F.col("single"), cut_word() & (F.length("word") > 1)).otherwise(cut_word() | cut_place(ENDS)))
     sides = found.join(ends.select("id", "single"), "id").select(F.floor(F.col("id") / 2).alias("id"), F.pmod("id", F.lit(2)).alias("side"), F.coalesce(cut, F.lit(False)).alias("cut"), "word", "suffix", "seen", "longer", "p_end", "support")
-    by = sides.groupBy("id").agg(F.max("cut").alias("cut"), F.max(F.when(F.col("side") == 0, F.struct("cut", "word", "suffix", "seen", "longer", "p_end", "support"))).alias("a_end"), F.max(F.when(F.col("side") == 1, F.struct("cut", "word", "suffix", "seen", "longer", "p_end", "support"))).alias("r_end"))
-    defect = F.coalesce("defect", F.when(F.col("unfinished") | F.col("cut"), "truncated"))
-    return quick.join(by, "id", "left").select("id", defect.alias("defect"), "unfinished", "a_end", "r_end")
+    by = sides.groupBy("id").agg(F.max(F.when(F.col("side") == 0, F.struct("cut", "word", "suffix", "seen", "longer", "p_end", "support"))).alias("a_end"), F.max(F.when(F.col("side") == 1, F.struct("cut", "word", "suffix", "seen", "longer", "p_end", "support"))).alias("r_end"))
+    cut_answer = (F.coalesce(F.col("a_end.cut"), F.lit(False)) | F.col("begins")) & ~F.col("whole")
+    cut_either = F.col("unfinished") | cut_answer | F.coalesce(F.col("r_end.cut"), F.lit(False))
+    defect = F.coalesce("defect", F.when(cut_either, "truncated"))
+    return quick.join(by, "id", "left").join(asked, "id").select("id", defect.alias("defect"), "unfinished", "a_end", "r_end")

@@ -243,11 +243,14 @@ def counts(df: DataFrame, tail: DataFrame) -> DataFrame:
 
 #: A context speaks if it occurs this often beside the text itself.
 LEAST = 6
+#: A word this frequent that ends less than this share of its occurrences never comes last.
+OFTEN, NEVER = 200, 0.005
 
 
 def judged(tail: DataFrame, corpus: DataFrame) -> DataFrame:
-    """Tails with ``seen``, ``longer`` of their word and ``p_end``, ``support``, ``order`` of their longest telling context."""
+    """Tails with ``seen``, ``longer`` of their word, ``p_end``, ``support``, ``order`` of their longest telling context, and
+    ``never_last``: the word (or its class) is frequent but practically never ends anything."""
     parts = tail.select("id", F.posexplode(F.array(*(F.col(f"c{i}") for i in range(ORDERS + 1)))).alias("o", "h"))
-    found = parts.join(corpus, "h").groupBy("id").agg(F.max(F.when(F.col("o") == 0, F.struct("seen", "longer"))).alias("w"), F.max_by(F.struct("o", "seen", "ended"), F.when((F.col("o") > 0) & (F.col("seen") > LEAST), F.col("o"))).alias("c"))
+    found = parts.join(corpus, "h").groupBy("id").agg(F.max(F.when(F.col("o") == 0, F.struct("seen", "longer"))).alias("w"), F.max(F.when(F.col("o") == 1, F.struct("seen", "ended"))).alias("one"), F.max_by(F.struct("o", "seen", "ended"), F.when((F.col("o") > 0) & (F.col("seen") > LEAST), F.col("o"))).alias("c"))
     out = tail.join(found, "id", "left")
-    return out.select(*tail.columns, F.coalesce("w.seen", F.lit(0)).alias("seen"), F.coalesce("w.longer", F.lit(0)).alias("longer"), F.col("c.o").alias("order"), (F.col("c.seen") - 1).alias("support"), ((F.col("c.ended") - 1) / (F.col("c.seen") - 1)).alias("p_end"))
+    return out.select(*tail.columns, F.coalesce("w.seen", F.lit(0)).alias("seen"), F.coalesce("w.longer", F.lit(0)).alias("longer"), F.col("c.o").alias("order"), (F.col("c.seen") - 1).alias("support"), ((F.col("c.ended") - 1) / (F.col("c.seen") - 1)).alias("p_end"), (F.coalesce(F.col("one.seen") >= OFTEN, F.lit(False)) & (F.col("one.ended") - 1 < NEVER * F.col("one.seen"))).alias("never_last"))

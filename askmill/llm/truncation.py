@@ -25,7 +25,7 @@ from askmill.functions.text import strip
 from askmill.llm import tails
 from askmill.plans.workspace import settle
 
-ENDS = 0.12
+ENDS, ENDS_NUMBER = 0.12, 0.01
 LETTERS = 8
 PILE, AROUND, TIMES = 8, 8, 24
 
@@ -45,9 +45,18 @@ def piles(bare: DataFrame) -> DataFrame:
     return by.withColumn("near", near).where((F.col("k") >= PILE) & (F.col("k") * 2 * AROUND >= TIMES * F.greatest("near", F.lit(1)))).select("src", "n")
 
 
-def cut_word() -> Column:
-    """The last word is the beginning of other words rather than a word (numbers go on anyhow)."""
-    return ~F.col("word").rlike(NUMERIC) & (F.col("longer") > LETTERS * (F.col("seen") + 0.05))
+def cut_word(silent: int = LETTERS) -> Column:
+    """The last word is the beginning of other words rather than a word (numbers go on anyhow).
+
+    ``silent``: how many times as frequent those must be where no context speaks at all.
+    """
+    times = F.when(F.col("p_end").isNull(), silent).otherwise(LETTERS)
+    return ~F.col("word").rlike(NUMERIC) & (F.col("longer") > times * (F.col("seen") + 0.05))
+
+
+def cut_place(ends: float) -> Column:
+    """The context doesn't end anything here; numbers share their class with all of their length, so they need more."""
+    return F.coalesce(F.col("p_end") < F.when(F.col("word").rlike(NUMERIC), ENDS_NUMBER).otherwise(ends), F.lit(False)) | F.col("never_last")
 
 
 def judge(df: DataFrame, id_col: str, text: str, source: str) -> DataFrame:
@@ -64,8 +73,8 @@ def judge(df: DataFrame, id_col: str, text: str, source: str) -> DataFrame:
     why = (
         F.when(F.col("broken"), "broken")
         .when(~F.col("bare"), None)
-        .when(cut_word(), "word")
-        .when(F.col("p_end") < ENDS, "place")
+        .when(cut_word(silent=1), "word")  # the word stands as it never does inside a text
+        .when(cut_place(ENDS), "place")
         .when((F.col("open") != "") & unclear, "open")
         .when(F.col("at_limit") & unclear, "limit")
     )
