@@ -165,8 +165,9 @@ def changes(ingested: DataFrame, run: str = "run_name", number: str = "file_no",
     pairs = files.select(*keys).join(files.select(run, (F.col(number) + 1).alias(number)), keys)
     both = old.join(per.withColumnRenamed("k", "new_k"), [*keys, "field"], "full").join(pairs, keys, "left_semi")
     outer = F.when(F.instr("field", ".") > 0, F.substring_index("field", ".", 1))
-    # an inner key counts only where its object is present under one name in both files
-    shared = both.where(F.col("old_k").isNotNull() & F.col("new_k").isNotNull()).select(*keys, F.col("field").alias("outer"))
+    # an inner key counts only where its field is an object under one name in both files
+    is_object = lambda k: F.coalesce(F.array_contains(k, "object"), F.lit(False))
+    shared = both.where(is_object("old_k") & is_object("new_k")).select(*keys, F.col("field").alias("outer"))
     inner = both.withColumn("outer", outer).where(F.col("outer").isNotNull()).join(shared, [*keys, "outer"], "left_semi").select(both.columns)
     seen = settle(both.where(outer.isNull()).unionByName(inner), "drift-seen")
     retyped = seen.where((F.size("old_k") > 0) & (F.size("new_k") > 0) & (F.col("old_k") != F.col("new_k"))).select(*keys, F.lit("type_changed").alias("change"), "field", F.lit("").alias("new_field"))

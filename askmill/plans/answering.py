@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from askmill.functions import scores as S
 from askmill.functions import text as X
 from askmill.operators import answers as A
 from askmill.operators import evidence as E
@@ -46,6 +47,21 @@ def facts_list(spark: SparkSession, sf: str) -> DataFrame:
     return E.fact_block(_both(spark, sf)[1]).select("query_id", "facts")
 
 
+def evidence_block(spark: SparkSession, sf: str) -> DataFrame:
+    return E.evidence_block(*_both(spark, sf))
+
+
+def extract_claims(spark: SparkSession, sf: str) -> DataFrame:
+    p = _t(spark, sf, "predictions")
+    return p.select("pred_id", F.posexplode(X.claims(F.coalesce("answer", F.lit("")))).alias("pos", "claim"))
+
+
+def lexical_support(spark: SparkSession, sf: str) -> DataFrame:
+    """Support of each answer by its stored response."""
+    c = lambda n: F.coalesce(n, F.lit(""))
+    return _t(spark, sf, "predictions").select("pred_id", F.round(S.lexical_support(c("answer"), c("full_response")), 6).alias("support"))
+
+
 def complexity_route(spark: SparkSession, sf: str) -> DataFrame:
     return E.complexity(*_both(spark, sf))
 
@@ -108,7 +124,7 @@ def gold_semijoin(spark: SparkSession, sf: str) -> DataFrame:
     return _t(spark, sf, "examples").select("row_id", "id").join(done, "id", "left_semi")
 
 
-QUERIES = {f.__name__: f for f in (rerank_topk, sentence_select, facts_list, complexity_route, built_prompts, parse_output, verify_claims, decide, dedupe_facts, decided_passages, resume_antijoin, gold_semijoin)}
+QUERIES = {f.__name__: f for f in (rerank_topk, sentence_select, evidence_block, facts_list, extract_claims, lexical_support, complexity_route, built_prompts, parse_output, verify_claims, decide, dedupe_facts, decided_passages, resume_antijoin, gold_semijoin)}
 
 _EX = "x AS (SELECT * FROM examples QUALIFY row_number() OVER (PARTITION BY id ORDER BY row_id DESC) = 1)"
 _RER = f"""{_EX}, c AS (SELECT query_id, passage_idx, max(score) best FROM retrieval_results WHERE score IS NOT NULL GROUP BY ALL),
@@ -129,6 +145,12 @@ SQL = {
     "sentence_select": f"WITH {_SEL} SELECT query_id, rank, idx::INT idx, round(sc, 4) score FROM sel",
     "facts_list": f"""WITH {_SEL}, l AS (SELECT *, row_number() OVER (PARTITION BY query_id, rank ORDER BY idx) k FROM sel QUALIFY k <= CASE WHEN rank < 2 THEN 3 ELSE 2 END), n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank, idx) - 1 num FROM l)
 SELECT query_id, 'AVAILABLE FACTS:' || chr(10) || string_agg('Fact ' || num || ': [' || coalesce(title, '') || ', ' || idx || '] ' || CASE WHEN length(text) > 180 THEN text[1:180] || '...' ELSE text END, chr(10) ORDER BY num) facts FROM n GROUP BY query_id""",
+    "evidence_block": f"""WITH {_SEL}, l AS (SELECT *, row_number() OVER (PARTITION BY query_id, rank ORDER BY idx) k FROM sel QUALIFY k <= CASE WHEN rank < 2 THEN 3 ELSE 2 END),
+n AS (SELECT query_id, rank, string_agg(chr(10) || '  [' || idx || '] ' || CASE WHEN length(text) > 180 THEN text[1:180] || '...' ELSE text END, '' ORDER BY idx) lines FROM l GROUP BY ALL)
+SELECT query_id, 'Evidence:' || chr(10) || string_agg('Passage ' || rank || ': [' || coalesce(title, '') || ']' || coalesce(lines, ''), chr(10) ORDER BY rank) evidence FROM r LEFT JOIN n USING (query_id, rank) GROUP BY query_id""",
+    "extract_claims": f"WITH p AS (SELECT pred_id, {Q.strip("coalesce(answer, '')")} a FROM predictions), c AS (SELECT pred_id, {_CLAIMS} c FROM p) SELECT pred_id, unnest(c) claim, (generate_subscripts(c, 1) - 1)::INT pos FROM c",
+    "lexical_support": f"""WITH t AS (SELECT pred_id, {Q.verifier_terms("coalesce(answer, '')")} a, {Q.verifier_terms("coalesce(full_response, '')")} e FROM predictions), s AS (SELECT *, len(list_intersect(a, e)) k FROM t)
+SELECT pred_id, round(CASE WHEN k = 0 THEN 0.0::DOUBLE ELSE least(1.0, 0.75::DOUBLE * k / len(a) + 0.25::DOUBLE * 2 * k / (len(a) + len(e))) END, 6) support FROM s""",
     "complexity_route": f"""WITH {_SEL}, p AS (SELECT query_id, any_value(question) question, max(score) FILTER (rank = 0) a, max(score) FILTER (rank = 1) b FROM r GROUP BY query_id), m AS (SELECT query_id, count(*) n FROM sel GROUP BY query_id),
 z AS (SELECT query_id, greatest(0.0, least(1.0, 0.10::DOUBLE * (length(question) > 50)::INT + 0.35::DOUBLE * ({_KEYS})::INT + 0.20::DOUBLE * CASE WHEN b IS NULL THEN 0.5 ELSE 1 - greatest(0.0, least(1.0, (a - b) / (abs(a) + 1e-6))) END + 0.35::DOUBLE * (coalesce(n, 0) > 5)::INT)) c FROM p LEFT JOIN m USING (query_id))
 SELECT query_id, round(c, 6) complexity, CASE WHEN c > 0.5 THEN 'complex' ELSE 'simple' END route FROM z""",

@@ -12,9 +12,10 @@ def rows(*files):
 def test_changes(spark):
     one = [("a", {"answer": "x", "sp": [["t", 0]], "v": {"s": 1, "old": 2}, "n": None}), ("b", {"answer": "y", "sp": []}), ("c", None), ("d", ""), ("e", '{"cut')]
     two = [("a", {"text": "X.", "sp": [["t", "0"]], "v": {"s": 1, "new": "z"}, "n": 4}), ("b", {"text": "y", "sp": []})]
+    four = [("a", {"text": {"v": "p"}, "w": {"s": 2, "new": "q"}})]
     three = [("a", {"text": "p", "w": {"s": 2, "new": "q"}})]
-    got = {tuple(r) for r in drift.changes(drift.ingest(spark.createDataFrame(rows(one, two, three), SCHEMA))).collect()}
-    assert got == {("f2", "renamed", "answer", "text"), ("f2", "type_changed", "sp", ""), ("f2", "removed", "v.old", ""), ("f2", "added", "v.new", ""), ("f3", "removed", "sp", ""), ("f3", "removed", "n", ""), ("f3", "renamed", "v", "w")}
+    got = {tuple(r) for r in drift.changes(drift.ingest(spark.createDataFrame(rows(one, two, three, four), SCHEMA))).collect()}
+    assert got == {("f2", "renamed", "answer", "text"), ("f2", "type_changed", "sp", ""), ("f2", "removed", "v.old", ""), ("f2", "added", "v.new", ""), ("f3", "removed", "sp", ""), ("f3", "removed", "n", ""), ("f3", "renamed", "v", "w"), ("f4", "type_changed", "text", "")}
 
 
 def test_uniform_table_keeps_everything_and_replays(spark):
