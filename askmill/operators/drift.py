@@ -176,7 +176,9 @@ def changes(ingested: DataFrame, run: str = "run_name", number: str = "file_no",
     level = lambda c: F.coalesce(F.when(F.instr(c, ".") > 0, F.substring_index(c, ".", 1)), F.lit(""))
     same_shape = F.arrays_overlap("old_k", "new_k")
     maybe = gone.join(come, keys).where((level(F.col("gone")) == level(F.col("come"))) & same_shape).select(*keys, "gone", "come")
-    values = one.where(F.size("kinds") > 0).groupBy(*keys, question, "field").agg(F.max(_content(F.col("value"))).alias("v"))
+    maybe = settle(maybe, "drift-maybe")  # pairs of field names, a few per file
+    asked = maybe.select(run, (F.col(number) - 1).alias(number), F.col("gone").alias("field")).unionByName(maybe.select(*keys, F.col("come").alias("field"))).distinct()
+    values = one.where(F.size("kinds") > 0).join(asked, [*keys, "field"], "left_semi").groupBy(*keys, question, "field").agg(F.max(_content(F.col("value"))).alias("v"))
     before = values.select(run, (F.col(number) + 1).alias(number), question, F.col("field").alias("gone"), F.col("v").alias("old_v"))
     met = maybe.join(before, [*keys, "gone"]).join(values.select(*keys, question, F.col("field").alias("come"), F.col("v").alias("new_v")), [*keys, question, "come"])
     score = met.groupBy(*keys, "gone", "come").agg(F.avg(_alike(F.col("old_v"), F.col("new_v")).cast("double")).alias("share")).where(F.col("share") >= RENAME_SHARE)
