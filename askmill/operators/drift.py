@@ -3,7 +3,8 @@
 ``ingest`` reads raw JSON records under a target schema in one pass.  A field of the target whose value
 has an accepted JSON kind is cast into its column; every other field, and every value that can't be
 cast, is kept as JSON text in ``_rescued`` (a map field -> JSON).  Nothing is lost: ``replay`` promotes
-approved fields (under another name too) and fills typed columns from the rescued values.
+approved fields (under another name too) and fills typed columns from the rescued values; ``promotions``
+approves what the renames found in each run connect with a target column.
 
 ``changes`` compares each file with the one before it in its run.  It works on the ingested rows and
 their field profiles, made by the same parse, so the report and the table can't differ.
@@ -20,6 +21,7 @@ from collections.abc import Iterator
 from functools import reduce
 from operator import or_
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -39,6 +41,7 @@ TARGET = {
 #: A renamed field agrees with the old one on at least this share of the questions that have both.
 RENAME_SHARE = 0.5
 
+PROMOTED = "array<struct<name:string,column:string>>"
 INGESTED = "_readable boolean, _fields array<struct<field:string,kinds:array<string>,value:string>>"
 
 
@@ -124,17 +127,63 @@ def ingest(df: DataFrame, payload: str = "payload") -> DataFrame:
     return typed.withColumn("_rescued", F.map_filter("_map", lambda k, v: ~fits(k) & (v != "null"))).drop("_map")
 
 
-def replay(ingested: DataFrame, aliases: dict[str, str]) -> DataFrame:
+def replay(ingested: DataFrame, aliases: dict[str, str], promoted: DataFrame | None = None, run: str = "run_name") -> DataFrame:
     """Fill empty typed columns from rescued values of approved fields (``aliases``: field -> column).
 
-    The first alias that fits fills the column and leaves ``_rescued``; all else stays there.
+    ``promoted`` (see ``promotions``) approves more fields by run; they go before ``aliases``.  The first
+    approved field that fits fills the column and leaves ``_rescued``; all else stays there.
     """
-    by = {t: [s for s, to in aliases.items() if to == t] for t in dict.fromkeys(aliases.values())}
-    tried = {f"_{t}": F.coalesce(*(F.when(F.col(t).isNull() & v.isNotNull(), F.struct(F.lit(s).alias("name"), v.alias("v"))) for s in ns for v in [_cast(F.element_at("_rescued", F.lit(s)), *TARGET[t])])) for t, ns in by.items()}
-    out = ingested.withColumns(tried)
-    taken = F.filter(F.array(*(F.col(f"_{t}.name") for t in by)), lambda x: x.isNotNull())
+    listed = F.array(*(F.struct(F.lit(s).alias("name"), F.lit(t).alias("column")) for s, t in aliases.items())).cast(PROMOTED)
+    if promoted is None:
+        out = ingested.withColumn("_approved", listed)
+    else:
+        own = F.coalesce("_promoted", F.array().cast(PROMOTED))
+        rest = F.filter(listed, lambda x: ~F.exists(own, lambda y: y["name"] == x["name"]))
+        p = promoted.select(F.col(run).alias("_run"), F.col("promoted").alias("_promoted"))
+        out = ingested.join(p, F.col(run).eqNullSafe(F.col("_run")), "left").withColumn("_approved", F.concat(own, rest)).drop("_run", "_promoted")
+    here = F.filter("_approved", lambda x: F.array_contains(F.map_keys("_rescued"), x["name"]))
+    out = out.withColumn("_approved", F.transform(here, lambda x: F.struct(x["name"].alias("name"), x["column"].alias("column"), F.element_at("_rescued", x["name"]).alias("json"))))
+
+    def fit(t: str) -> Column:
+        tried = F.transform(F.filter("_approved", lambda x: x["column"] == t), lambda x: F.struct(x["name"].alias("name"), _cast(x["json"], *TARGET[t]).alias("v")))
+        return F.when(F.col(t).isNull(), F.get(F.filter(tried, lambda x: x["v"].isNotNull()), F.lit(0)))
+
+    found = {f"_{t}": fit(t) for t in TARGET}
+    out = out.withColumns(found)
+    taken = F.filter(F.array(*(F.col(f"_{t}.name") for t in TARGET)), lambda x: x.isNotNull())
     kept = F.map_filter("_rescued", lambda k, _: ~F.array_contains(taken, k))
-    return out.withColumns({t: F.coalesce(F.col(t), F.col(f"_{t}.v")) for t in by} | {"_rescued": kept}).drop(*tried)
+    return out.withColumns({t: F.coalesce(F.col(t), F.col(f"_{t}.v")) for t in TARGET} | {"_rescued": kept}).drop(*found, "_approved")
+
+
+def promoted_names(renames: list[tuple[str, str]]) -> dict[str, str]:
+    """field -> target column, for the names that chains of renames (old, new) lead to from a target column or to one.
+
+    The nearest target counts, the earlier rename on ties; a target's own name is never promoted.
+    """
+    found: dict[str, str] = {}
+    last = {t: t for t in TARGET}
+    while last:
+        step: dict[str, str] = {}
+        for old, new in renames:
+            for a, b in ((old, new), (new, old)):
+                if a in last and b not in TARGET and b not in found:
+                    step.setdefault(b, last[a])
+        found |= step
+        last = step
+    return found
+
+
+def promotions(ingested: DataFrame, run: str = "run_name", number: str = "file_no", file: str = "file_name", question: str = "question_id") -> DataFrame:
+    """(run, promoted): the fields of each run that its detected renames connect with a target column."""
+    renamed = compared(ingested, run, number, file, question).where((F.col("change") == "renamed") & ~F.col("field").contains("."))
+
+    def names(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values(["number", "field"])
+        found = promoted_names(list(zip(g["field"], g["new_field"])))
+        return pd.DataFrame({"run": [g["run"].iloc[0]], "promoted": [[{"name": k, "column": t} for k, t in found.items()]]})
+
+    one = renamed.select(F.col(run).alias("run"), F.col(number).alias("number"), "field", "new_field")
+    return one.groupBy("run").applyInPandas(names, f"run {dict(ingested.dtypes)[run]}, promoted {PROMOTED}").withColumnRenamed("run", run)
 
 
 def _content(v: Column) -> Column:
@@ -149,7 +198,12 @@ def _alike(a: Column, b: Column) -> Column:
 
 
 def changes(ingested: DataFrame, run: str = "run_name", number: str = "file_no", file: str = "file_name", question: str = "question_id") -> DataFrame:
-    """(file_name, change, field, new_field): each file against the file of its run numbered one less.
+    """(file_name, change, field, new_field): each file against the file of its run numbered one less."""
+    return compared(ingested, run, number, file, question).select(F.col(file).alias("file_name"), "change", "field", "new_field")
+
+
+def compared(ingested: DataFrame, run: str, number: str, file: str, question: str) -> DataFrame:
+    """The rows of ``changes`` with run, number and file.
 
     Fields are pre-aggregated per file before anything else, so the report handles a few rows per
     file.  Only fields that went or came are compared by question, and only between two neighbours.
@@ -190,4 +244,4 @@ def changes(ingested: DataFrame, run: str = "run_name", number: str = "file_no",
     came = come.join(renamed, [*keys, "come"], "left_anti").select(*keys, F.lit("added").alias("change"), F.col("come").alias("field"), F.lit("").alias("new_field"))
     moved = renamed.select(*keys, F.lit("renamed").alias("change"), F.col("gone").alias("field"), F.col("come").alias("new_field"))
     found = retyped.unionByName(went).unionByName(came).unionByName(moved)
-    return found.join(files, keys).select(F.col(file).alias("file_name"), "change", "field", "new_field")
+    return found.join(files, keys)

@@ -33,13 +33,22 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     return drift.changes(drift.ingest(_table(spark, sf, "raw_predictions")))
 
 
-#: Promotions approved for the prediction files.
-ALIASES = {"gold": "gold_answer", "goldAnswer": "gold_answer", "query": "question", "question_text": "question", "response_text": "full_response", "cited": "sp", "evidence": "sp", "pred_text": "answer"}
+#: Names seen in prediction files that are approved in every run; renames found in a run approve others there.
+NAMES = {
+    "question": ["query", "question_text", "q"],
+    "gold_answer": ["gold", "goldAnswer", "expected_answer", "reference"],
+    "answer": ["pred_text", "final_answer", "prediction"],
+    "sp": ["cited", "evidence", "supporting_facts"],
+    "full_response": ["response_text", "raw_response", "fullResponse", "completion"],
+    "verification": ["verifier", "verificationResult"],
+}
+ALIASES = {name: column for column, names in NAMES.items() for name in names}
 
 
 def p2_uniform(spark: SparkSession, sf: str) -> DataFrame:
     """All records in one table; approved fields are replayed from the rescue column."""
-    return drift.replay(drift.ingest(_table(spark, sf, "raw_predictions")), ALIASES).drop("_fields").withColumn("_rescued", F.to_json("_rescued"))
+    rows = drift.ingest(_table(spark, sf, "raw_predictions"))
+    return drift.replay(rows, ALIASES, drift.promotions(rows)).drop("_fields").withColumn("_rescued", F.to_json("_rescued"))
 
 
 QUERIES = {"p2_found": p2_found, "p2_uniform": p2_uniform, "p1_found": p1_found} | {f"p1_{tag}s": _p1_flat(tag) for tag in nested.SCHEMAS}

@@ -1,6 +1,10 @@
 import json
 
+from conftest import SF
+from pyspark.sql import functions as F
+
 from askmill.operators import drift
+from askmill.plans import dealt
 
 SCHEMA = "row_id long, run_name string, file_no int, file_name string, question_id string, payload string, answer int"
 
@@ -37,3 +41,23 @@ def test_empty_table(spark):
 def test_kinds():
     assert drift.kinds([["a", 1], [None, ""]]) == {"array", "[array", "[[string", "[[number"}
     assert drift.kinds([]) == drift.kinds("") == drift.kinds(None) == set()
+
+
+def test_detected_renames_are_promoted(spark):
+    files = [[(q, {"answer": f"{q}1", "sp": [[q, 0]], "n": 3}) for q in "abc"], [(q, {"reply": f"{q}1", "sp": [[q, 0]]}) for q in "abc"], [(q, {"out": f"{q}1", "sp": [[q, 0]], "other": "z"}) for q in "abc"]]
+    df = spark.createDataFrame(rows(*files), SCHEMA).drop("answer")
+    t = drift.ingest(df)
+    other = df.where("file_no = 3").withColumn("run_name", F.lit("s"))  # no rename in this run
+    got = drift.replay(drift.ingest(df.unionByName(other)), {}, drift.promotions(t)).collect()
+    assert all(r.answer == f"{r.question_id}1" and set(r._rescued) <= {"n", "other"} for r in got if r.run_name == "r") and sum(r.run_name == "r" for r in got) == 9
+    assert all(r.answer is None and "out" in r._rescued for r in got if r.run_name == "s")
+
+
+def test_promoted_names():
+    assert drift.promoted_names([("answer", "gold_answer"), ("gold_answer", "x"), ("x", "y"), ("q", "question"), ("u", "w")]) == {"x": "gold_answer", "q": "question", "y": "gold_answer"}
+
+
+def test_no_castable_renamed_value_stays_rescued(spark):
+    names = {"raw_response": "full_response", "fullResponse": "full_response", "completion": "full_response", "response_text": "full_response", "supporting_facts": "sp", "cited": "sp", "evidence": "sp", "expected_answer": "gold_answer", "reference": "gold_answer", "gold": "gold_answer", "goldAnswer": "gold_answer", "final_answer": "answer", "prediction": "answer", "pred_text": "answer", "q": "question", "query": "question", "question_text": "question", "verifier": "verification", "verificationResult": "verification"}
+    left = [(r.row_id, k, v) for r in dealt.p2_uniform(spark, SF).collect() for k, v in json.loads(r._rescued or "{}").items() if k in names and r[names[k]] is None and isinstance(v, {"sp": list, "verification": dict}.get(names[k], str))]
+    assert left == []
