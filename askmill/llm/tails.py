@@ -8,7 +8,7 @@ The last word of a text (its tail) is judged by three kinds of evidence:
 * the place: contexts of 4, 3, 2 and 1 words that end in the tail, with names and numbers folded into
   classes.  For each the corpus tells how often it stands at the end of a sentence, line or text.
 
-Everything is counted over all texts.  Only contexts that are the tail of some text are counted: the tails
+Everything is counted over all texts, copies once.  Only contexts that are the tail of some text are counted: the tails
 are first folded into a bit set of 2**FILTER bits (a fixed size; a false hit only counts more).
 """
 
@@ -23,6 +23,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from askmill.functions.text import SPACE
+
 FILTER = 22
 ORDERS = 4
 TOKEN = re.compile(r"[^\W_]+(?:[.,'’\-][^\W_]+)*|\n+|[^\w\s]|_")
@@ -179,8 +181,9 @@ def _bit_set(tail: DataFrame) -> np.ndarray:
 
 
 def counts(df: DataFrame, tail: DataFrame) -> DataFrame:
-    """(h, seen, ended, longer): for tail words and contexts, over all texts of ``df``.
+    """(h, seen, ended, longer): for tail words and contexts, over all distinct texts of ``df``.
 
+    Copies of a text bear no witness for each other, so a text counts once however often it is stored.
     ``seen`` counts occurrences, ``ended`` those at the end of a sentence, line or text.  For words
     (not contexts) the tails themselves don't count, and ``longer`` counts occurrences of words that
     begin with this one.
@@ -237,7 +240,8 @@ def counts(df: DataFrame, tail: DataFrame) -> DataFrame:
                     uses.clear()
         yield flush()
 
-    table = df.select("text").mapInArrow(run, "h bigint, seen bigint, ended bigint, longer bigint")
+    once = df.select(F.regexp_replace("text", f"{SPACE}+$", "").alias("text")).where("text <> ''").distinct()
+    table = once.mapInArrow(run, "h bigint, seen bigint, ended bigint, longer bigint")
     return table.groupBy("h").agg(*(F.sum(c).alias(c) for c in ("seen", "ended", "longer")))
 
 

@@ -38,8 +38,8 @@ def source_name(c: Column) -> Column:
 
 
 def piles(bare: DataFrame) -> DataFrame:
-    """(src, n) at which the bare ends of a source pile up: lengths of a field limit."""
-    by = bare.groupBy("src", "n").agg(F.count("*").alias("k"))
+    """(src, n) at which the bare ends of a source pile up: lengths of a field limit.  Copies of a text count once."""
+    by = bare.groupBy("src", "n").agg(F.count_distinct("copy").alias("k"))
     w = Window.partitionBy("src").orderBy("n")
     near = F.sum("k").over(w.rangeBetween(-AROUND, AROUND)) - F.col("k")
     return by.withColumn("near", near).where((F.col("k") >= PILE) & (F.col("k") * 2 * AROUND >= TIMES * F.greatest("near", F.lit(1)))).select("src", "n")
@@ -64,7 +64,7 @@ def judge(df: DataFrame, id_col: str, text: str, source: str) -> DataFrame:
     docs = df.select(F.col(id_col).alias("id"), F.col(text).alias("text"), source_name(F.col(source)).alias("src"))
     docs = docs.where(F.col("id").isNotNull() & F.col("text").isNotNull())
     tail = settle(tails.tails(docs), "tails")
-    found = tails.judged(tail, tails.counts(docs, tail)).join(docs.select("id", "src"), "id")
+    found = tails.judged(tail, tails.counts(docs, tail)).join(docs.select("id", "src", F.xxhash64("text").alias("copy")), "id")
     found = settle(found.withColumn("bare", F.coalesce(F.col("suffix").rlike(BARE), F.lit(False))).drop(*(f"c{i}" for i in range(tails.ORDERS + 1))), "judged")
     at_limit = piles(found.where("bare")).withColumn("at_limit", F.lit(True))
     # few rows per source: AQE broadcasts what is small by measure

@@ -44,6 +44,19 @@ def test_cut_texts(spark, corpus):
     assert set(r) == {"a", "b", None} and r["b"] == (len(CASES) + 1, 7) and r["a"][1] == 0
 
 
+def test_copies_of_a_cut_text_bear_no_witness_for_each_other(spark, corpus):
+    cut, whole = "The mill of Halmond was rebuilt in 1801. The old wooden", "The mill of Halmond was rebuilt in 1801. Notes about the orchard keepers"
+    rows = corpus + [(1000 + i, cut + " " * (i % 2), "b", 1) for i in range(50)] + [(2000 + i, whole, "b", 1) for i in range(50)]
+    j = truncation.judge(spark.createDataFrame(rows, "doc_id long, text string, source string, cut int"), "doc_id", "text", "source")
+    assert {r.id for r in j.where("cut").collect()} == set(range(1000, 1050))
+
+
+def test_copies_of_a_cut_response(spark, corpus):
+    rows = [(i, f"q{i}?", "Morholm", "Morholm", t) for i, t, _, _ in corpus] + [(1000 + i, "q?", "Morholm", "Morholm", "Records at Brimby mention it. The old wooden") for i in range(50)]
+    df = spark.createDataFrame(rows, "pred_id long, question string, gold_answer string, answer string, full_response string")
+    assert {r.id for r in pairs.inspect(df).where("defect = 'truncated'").collect()} == set(range(1000, 1050))
+
+
 def test_no_texts(spark):
     df = spark.createDataFrame([], "doc_id long, text string, source string")
     assert truncation.judge(df, "doc_id", "text", "source").count() == 0
