@@ -51,14 +51,26 @@ def passage_texts(passages: DataFrame) -> DataFrame:
     return passages.select("passage_idx", joined_text(F.col("sentences")).alias("text"), title_text(F.col("title"), F.col("sentences")).alias("title_text"))
 
 
+def membership(passages: DataFrame) -> DataFrame:
+    """(passage_idx, title, text): the key by which passages are copies of each other."""
+    return passages.select("passage_idx", F.coalesce(strip("title"), F.lit("")).alias("title"), joined_text(F.col("sentences")).alias("text"))
+
+
+def first_of(passages: DataFrame) -> DataFrame:
+    """(passage_idx, first): the first stored passage of the same title and text.  Copies meet on two hashes,
+    so no text is shuffled and a large group is a map-side minimum."""
+    rows = membership(passages).select("passage_idx", F.struct(F.xxhash64("title", "text").alias("h"), F.md5(F.to_binary(F.to_json(F.struct("title", "text")), F.lit("utf-8"))).alias("m")).alias("key"))
+    firsts = rows.groupBy("key").agg(F.min("passage_idx").alias("first"))
+    return rows.join(firsts, "key").select("passage_idx", "first")
+
+
 def passage_index(passages: DataFrame) -> DataFrame:
     """One row per (title, text), the first stored wins; ids count in that order.
 
     Duplicates meet on a hash of title and text with a map-side minimum.  Ids are numbered by range
     partition: sort once, count per partition, add offsets; no task sees all rows.
     """
-    rows = passages.select("passage_idx", F.coalesce(strip("title"), F.lit("")).alias("title"), joined_text(F.col("sentences")).alias("text"))
-    first = rows.groupBy("title", "text").agg(F.min("passage_idx").alias("passage_idx"), F.count("*").alias("copies"))
+    first = membership(passages).groupBy("title", "text").agg(F.min("passage_idx").alias("passage_idx"), F.count("*").alias("copies"))
     return with_position(first, "passage_idx").select("passage_idx", F.concat("title", F.lit("::"), F.col("position").cast("string")).alias("passage_id"), "copies", "position")
 
 

@@ -37,8 +37,8 @@ def bm25_idf(spark: SparkSession, sf: str) -> DataFrame:
     return idf.select("term", "df", F.round("idf", 6).alias("idf"))
 
 
-def _keywords(spark: SparkSession, sf: str, k: int, q: DataFrame | None = None, weights: DataFrame | None = None) -> DataFrame:
-    p = _t(spark, sf, "passages")
+def _keywords(spark: SparkSession, sf: str, k: int, q: DataFrame | None = None, weights: DataFrame | None = None, passages: DataFrame | None = None) -> DataFrame:
+    p = _t(spark, sf, "passages") if passages is None else passages
     return R.best_by_keywords(R.weighted(p, "passage_idx", _text()) if weights is None else weights, p, "passage_idx", q if q is not None else questions(spark, sf), "query_id", F.col("question"), k)
 
 
@@ -51,11 +51,17 @@ def _vectors(spark: SparkSession, sf: str) -> DataFrame:
     return R.usable_vectors(v.withColumn("pv", F.struct("passage_idx", "vec_id")), "pv", "embedding", DIM).select(F.col("id.passage_idx").alias("id"), F.col("id.vec_id").alias("vec_id"), "v")
 
 
-def _dense(spark: SparkSession, sf: str, k: int) -> DataFrame:
-    """The query vector of a question is the usable vector whose vec_id is its number (a stand-in pairing)."""
+def _dense(spark: SparkSession, sf: str, k: int, firsts: DataFrame | None = None) -> DataFrame:
+    """The query vector of a question is the usable vector whose vec_id is its number (a stand-in pairing).
+
+    With ``firsts`` (passage_idx, first) each distinct passage is ranked once, by the first usable vector of its copies.
+    """
     v = _vectors(spark, sf)
     q = questions(spark, sf).select("query_id").join(v.select(F.col("vec_id").alias("query_id"), "v"), "query_id")
-    return R.best_by_vectors(v.select("id", "v"), q, k, DIM)
+    if firsts is None:
+        return R.best_by_vectors(v.select("id", "v"), q, k, DIM)
+    once = v.join(firsts.withColumnRenamed("passage_idx", "id"), "id").groupBy("first").agg(F.min_by("v", F.struct("id", "vec_id")).alias("v"))
+    return R.best_by_vectors(settle(once.withColumnRenamed("first", "id"), "vectors"), q, k, DIM)
 
 
 def dense_topk(spark: SparkSession, sf: str) -> DataFrame:
@@ -146,16 +152,18 @@ def fuzzy_title_topk(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def multihop(spark: SparkSession, sf: str) -> DataFrame:
-    p = _t(spark, sf, "passages")
+    """Both hops over the distinct passages: of each title and text the first stored one stands for its copies."""
+    firsts = settle(P.first_of(_t(spark, sf, "passages")), "firsts")
+    p = settle(_t(spark, sf, "passages").join(firsts.where("passage_idx = first").select("passage_idx"), "passage_idx", "left_semi"), "distinct")
     weights = settle(R.weighted(p, "passage_idx", _text()), "weights")
-    dense = settle(_dense(spark, sf, POOL), "dense")
-    fused = lambda q: R.fuse(_keywords(spark, sf, POOL, q, weights), dense, POOL, F.lit(ALPHAS["alpha"]), TOP)
+    dense = settle(_dense(spark, sf, POOL, firsts), "dense")
+    fused = lambda q: R.fuse(_keywords(spark, sf, POOL, q, weights, p), dense, POOL, F.lit(ALPHAS["alpha"]), TOP)
     hop1 = settle(fused(questions(spark, sf)), "hop1")
     entities = settle(_entities(spark, sf, hop1), "entities")
     more = entities.groupBy("query_id").agg(F.array_join(F.slice(F.transform(F.array_sort(F.collect_list(F.struct("pos", "entity"))), lambda x: x["entity"]), 1, 3), " ").alias("more"))
     again_q = questions(spark, sf).join(more, "query_id").select("query_id", F.concat("question", F.lit(" "), "more").alias("question"), "type")
     again = settle(fused(again_q), "again")
-    members = _t(spark, sf, "passages").select(X.strip("title").alias("title"), F.col("passage_idx").alias("id"))
+    members = p.select(X.strip("title").alias("title"), F.col("passage_idx").alias("id"))
     return R.second_hop(hop1, entities, _titles(spark, sf), members, again, TOP).select("query_id", F.col("id").alias("passage_idx"), F.round("score", 6).alias("score"), "rank", "hop")
 
 

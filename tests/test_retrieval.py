@@ -3,7 +3,9 @@ import math
 import numpy as np
 from pyspark.sql import functions as F
 
+from askmill.operators import passages as P
 from askmill.operators import retrieval as R
+from askmill.plans import retrieval as plans
 
 
 def test_keyword_ranking_against_brute_force(spark):
@@ -68,3 +70,18 @@ def test_vectors_with_unusable_ones(spark):
     assert sorted(r.id for r in good.collect()) == [1, 6]
     got = R.best_by_vectors(good, good.select(F.col("id").alias("query_id"), "v"), 1, 2)
     assert sorted((r.query_id, r.id) for r in got.collect()) == [(1, 1), (6, 6)]
+
+
+def test_copies_take_one_place_in_both_hops(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    copies = [(i, " Mill " if i % 2 else "Mill", ["The silver mill stands. "]) for i in range(150)]
+    others = [(200 + i, f"Barn {i}", [f"The silver barn {i} stands near the mill."]) for i in range(30)]
+    spark.createDataFrame(copies + others, "passage_idx long, title string, sentences array<string>").write.parquet(f"{tmp_path}/passages.parquet")
+    spark.createDataFrame([(7, "a", "Where is the silver mill?", "bridge")], "row_id long, id string, question string, question_type string").write.parquet(f"{tmp_path}/examples.parquet")
+    same = rng.normal(size=64).tolist()
+    vectors = [(i, i, same) for i in range(150) if i] + [(200 + i, 200 + i, rng.normal(size=64).tolist()) for i in range(30)]
+    spark.createDataFrame(vectors, "vec_id long, passage_idx long, embedding array<double>").write.parquet(f"{tmp_path}/dense_vectors.parquet")
+    got = [r.passage_idx for r in plans.multihop(spark, str(tmp_path)).collect()]
+    assert len(got) == 20 and len(set(got)) == 20 and [i for i in got if i < 200] == [0]
+    firsts = {r.passage_idx: r.first for r in P.first_of(spark.read.parquet(f"{tmp_path}/passages.parquet")).collect()}
+    assert firsts == {i: 0 for i in range(150)} | {200 + i: 200 + i for i in range(30)}
