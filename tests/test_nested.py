@@ -41,3 +41,19 @@ def test_both_visitors_agree(spark):
     raw = spark.createDataFrame([(1, json.dumps({"id": "a", "question": "q", "answer": "b", "question_type": "t", "level": "l", "context": [{"title": "T", "sentences": ["x", None], "passage_id": "p"}], "supporting_facts": [{"title": "T", "sentence_index": 0}]}))], "row_id long, payload string")
     for tag in nested.SCHEMAS:
         assert sorted(map(str, nested.flat_table(nested.visit_typed(typed), tag).collect())) == sorted(map(str, nested.flat_table(nested.visit_json(raw), tag).collect()))
+
+
+def test_what_has_no_column_stays_in_rest(spark):
+    record = {"_id": "a", "id": "b", "question": 5, "extra": {"x": [1]}, "context": [["T", ["x"]], {"name": "n"}, ["T", "no list"], {"title": 7, "sentences": ["y"], "url": "u"}], "supporting_facts": [["T", 0], ["T", 0, 9], {"title": "T", "sentence_index": 0, "why": "w"}, "T"]}
+    df = spark.createDataFrame([(1, json.dumps(record))], "row_id long, payload string")
+    t = nested.write_tagged(nested.visit_json(df))
+    rest = lambda tag: [r.rest and json.loads(r.rest) for r in nested.flat_table(t, tag).orderBy("pos").collect()]
+    assert rest("record") == [{"id": "b", "question": 5, "extra": {"x": [1]}}]
+    assert rest("context") == [None, {"name": "n"}, {"sentences": "no list"}, {"title": 7, "url": "u"}]
+    assert rest("fact") == [None, ["T", 0, 9], {"why": "w"}, "T"]
+    assert {(r.parent_pk, r.title) for r in nested.flat_table(t, "link").collect()} == {("1/fact/0", "1/context/0/sentence/0"), ("1/fact/2", "1/context/0/sentence/0")}
+
+
+def test_broken_surrogates(spark):
+    df = spark.createDataFrame([(1, '{"_id": "\\ud800", "context": [["T\\ud800", ["\\udfff x"]]], "supporting_facts": [["T\\ud800", 0]]}')], "row_id long, payload string")
+    assert found(nested.visit_json(df)) == [(1, 0, 0, 0)]
