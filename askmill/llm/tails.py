@@ -1,15 +1,18 @@
-"""Does a text end where its writer ended it?  Corpus statistics of ends, shared by problems 3 and 8.
+"""Does a text end where its writer ended it?  Structure and statistics of ends, shared by problems 3 and 8.
 
-The last word of a text (its tail) is judged by three kinds of evidence:
+``scan`` is a stack automaton over the whole text.  It reads escapes, entities, tags, code fences, quotes, brackets
+and line ends; it ends inside a token (half an escape, entity, tag or multibyte character), with a stack of what
+is still open, and with the shape of the last line.  On the way it counts for each shape how many of the lines
+before the last one end with a terminator: summed by source these are the baseline of a missing terminator.
+
+The last word of a text (its tail) is checked by two kinds of corpus statistics:
 
-* structure: a stack automaton over the whole text finds what is still open at the end (brackets, quotes,
-  markup, escapes, entities, broken multibyte sequences);
 * the word: a tail that no text has as a whole word, but that begins known words, is a cut word;
 * the place: contexts of 4, 3, 2 and 1 words that end in the tail, with names and numbers folded into
   classes.  For each the corpus tells how often it stands at the end of a sentence, line or text.
 
 Everything is counted over all texts, copies once.  Only contexts that are the tail of some text are counted: the tails
-are first folded into a bit set of 2**FILTER bits (a fixed size; a false hit only counts more).
+are first folded into a bit set whose size follows their number up to 2**MOST bits (a false hit only counts more).
 """
 
 from __future__ import annotations
@@ -25,15 +28,26 @@ from pyspark.sql import functions as F
 
 from askmill.functions.text import SPACE
 
-FILTER = 22
+LEAST_BITS, MOST = 18, 26
 ORDERS = 4
 TOKEN = re.compile(r"[^\W_]+(?:[.,'’\-][^\W_]+)*|\n+|[^\w\s]|_")
 WORD = re.compile(r"[^\W_]")
 _CLOSERS = set("\"')]}»”’|=*…_>")
 _STOPS = set(".!?")
-_OPEN = {"(": ")", "[": "]", "{": "}", "“": "”", "«": "»"}
-#: What a transfer can leave half-done at the very end: an escape, an entity, a tag, a broken character.
-BROKEN = re.compile(r"(?:\\|\\u[0-9a-fA-F]{0,3}|\\x[0-9a-fA-F]?|&(?:[a-zA-Z]{1,7}|#x?[0-9a-fA-F]{0,6})|<[/a-zA-Z][^<>\n]{0,80}|[�\ud800-\udfff]|%[0-9A-F]|[ÃÂâ]€?)$")
+_PAIRS = {"(": ")", "[": "]", "{": "}", "“": "”", "«": "»", "„": "“"}
+#: Tokens of the automaton; ``half`` is one that the text ends inside of.
+STRUCTURE = re.compile(
+    r"""(?P<half>\\(?:u[0-9a-fA-F]{0,3}|x[0-9a-fA-F]?)?\Z|&(?:[a-zA-Z]{1,7}|\#x?[0-9a-fA-F]{0,6})\Z|<[/a-zA-Z!][^<>\n]*\Z|[\ufffd\ud800-\udfff]\Z|%[0-9A-F]\Z|[ÃÂâ]€?\Z)
+    |(?P<whole>\\(?:u[0-9a-fA-F]{4}|x[0-9a-fA-F]{2}|[^\n])|&(?:[a-zA-Z]+|\#[0-9a-fA-FxX]+);)
+    |(?P<tag></?[a-zA-Z][^<>\n]*>)|(?P<fence>```)|(?P<paragraph>\n[^\S\n]*\n\s*)|(?P<line>\n)|(?P<quote>")|(?P<open>[(\[{“«„])|(?P<close>[)\]}”»])""",
+    re.VERBOSE,
+)
+_VOID = set("br hr img input meta link wbr".split())
+#: A line ends with a terminator if only closing marks follow it.
+TERMINATED = re.compile(r"""[.!?…。！？][\s"'”’“»)\]}*_>]*\Z""")
+#: Shapes of lines by their first marks; a line with a label goes by that label.
+SHAPE = re.compile(r"""\s*(?:(?P<item>[-*•·–—]\s|\d+[.)]\s)|(?P<row>\|)|(?P<heading>[=#])|(?P<bracket>[(\[{<])|(?P<quote>["“«„])|(?P<label>[^\W\d_]+(?:[ ][^\W\d_]+)?):\s)""")
+SHORT = 5
 
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
@@ -107,24 +121,50 @@ def _last_words(ids: np.ndarray, kind: np.ndarray, edges: np.ndarray) -> np.ndar
     return np.where(found > start, found, -1)
 
 
-def open_at_end(text: str) -> str:
-    """Kinds of structure that a stack automaton finds open at the end of the text."""
+def shape(line: str) -> str:
+    m = SHAPE.match(line)
+    if m:
+        return f"{m['label'].lower()}:" if m.lastgroup == "label" else m.lastgroup
+    return "short" if len(line.split()) <= SHORT else "prose"
+
+
+def scan(text: str) -> tuple[bool, str, str, dict[str, list[int]]]:
+    """(ends inside a token, what is open, shape of the last line, lines and terminated lines before it by shape)."""
     stack: list[str] = []
-    for m in re.finditer(r"[()\[\]{}“”«»]|\n\s*\n|```", text):
-        c = m.group()
-        if c[0] == "\n":
-            stack = [x for x in stack if x in "}]`"]  # prose brackets end with their paragraph
-        elif c == "```":
+    half, start = False, 0
+    lines: dict[str, list[int]] = {}
+    for m in STRUCTURE.finditer(text):
+        what, c = m.lastgroup, m.group()
+        if what == "open" and not (c == "“" and "“" in stack):  # which closes „
+            stack.append(_PAIRS[c])
+        elif what in ("open", "close") or (what == "quote" and '"' in stack):
+            if c in stack:
+                while stack.pop() != c:
+                    pass
+        elif what == "quote":
+            stack.append('"')
+        elif what in ("line", "paragraph"):
+            line = text[start : m.start()]
+            if line and not line.isspace():
+                seen = lines.setdefault(shape(line), [0, 0])
+                seen[0] += 1
+                seen[1] += TERMINATED.search(line[-40:]) is not None
+            start = m.end()
+            # quotes end with their line, prose brackets with their paragraph
+            stack = [x for x in stack if x != '"'] if what == "line" else [x for x in stack if x in "}]`" or x[0] == "<"]
+        elif what == "fence":
             stack = [x for x in stack if x != "`"] if "`" in stack else [*stack, "`"]
-        elif c in _OPEN:
-            stack.append(_OPEN[c])
-        elif c in stack:
-            while stack.pop() != c:
-                pass
-    last = text[text.rfind("\n") + 1 :]
-    if last.count('"') % 2:
-        stack.append('"')
-    return "".join(stack)
+        elif what == "tag":
+            name = re.match(r"</?([a-zA-Z0-9]+)", c)[1].lower()
+            if c[1] == "/":
+                if f"<{name}" in stack:
+                    while stack.pop() != f"<{name}":
+                        pass
+            elif c[-2] != "/" and name not in _VOID:
+                stack.append(f"<{name}")
+        elif what == "half":
+            half = True
+    return half, "".join(stack), shape(text[start:]), lines
 
 
 def _tokenised(texts: list[str | None], voc: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
@@ -138,7 +178,8 @@ def _tokenised(texts: list[str | None], voc: Vocabulary) -> tuple[np.ndarray, np
     return np.array(ids, np.int64), np.array(edges, np.int64)
 
 
-TAIL = "id bigint, word string, suffix string, broken boolean, open string, line string, n int, c0 bigint, c1 bigint, c2 bigint, c3 bigint, c4 bigint"
+TAIL = "id bigint, word string, suffix string, broken boolean, open string, shape string, lines array<struct<shape:string,n:int,ended:int>>, n int, c0 bigint, c1 bigint, c2 bigint, c3 bigint, c4 bigint"
+_LINES = pa.list_(pa.struct([("shape", pa.string()), ("n", pa.int32()), ("ended", pa.int32())]))
 
 
 def tails(df: DataFrame) -> DataFrame:
@@ -158,9 +199,11 @@ def tails(df: DataFrame) -> DataFrame:
                 names = list(voc.index)
                 word = [names[ids[last[i]]] if last[i] >= 0 else None for i in keep]
                 suffix = [ends[i][ends[i].rfind(w) + len(w) :] if w else ends[i][-20:] for i, w in zip(keep, word)]
-                cols = [b.column(0).take(pa.array(keep, pa.int64())), word, suffix, [bool(BROKEN.search(ends[i])) for i in keep], [open_at_end(ends[i]) for i in keep], [ends[i][ends[i].rfind("\n") + 1 :][:40] for i in keep], [len(texts[i]) for i in keep]]
+                found = [scan(ends[i]) for i in keep]
+                lines = [[{"shape": k, "n": n, "ended": e} for k, (n, e) in f[3].items()] for f in found]
+                cols = [b.column(0).take(pa.array(keep, pa.int64())), word, suffix, [f[0] for f in found], [f[1] for f in found], [f[2] for f in found], lines, [len(texts[i]) for i in keep]]
                 cols += [c[np.maximum(last[keep], 0)].view(np.int64) for c in (raw, *contexts)] if keep else [[]] * 5
-                types = [pa.int64(), pa.string(), pa.string(), pa.bool_(), pa.string(), pa.string(), pa.int32(), *[pa.int64()] * 5]
+                types = [pa.int64(), pa.string(), pa.string(), pa.bool_(), pa.string(), pa.string(), _LINES, pa.int32(), *[pa.int64()] * 5]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) if not isinstance(c, pa.Array) else c for c, t in zip(cols, types)], [x.split()[0] for x in TAIL.split(", ")])
 
     return df.select("id", "text").mapInArrow(run, TAIL)
@@ -171,13 +214,14 @@ def _last_lines(text: str) -> str:
     return text if len(text) < 600 else text[text.rfind(" ", 0, len(text) - 500) + 1 :]
 
 
-def _bit_set(tail: DataFrame) -> np.ndarray:
-    """Bit set of all tail words and contexts, at most 2**(FILTER - 6) rows on the driver."""
-    h = tail.select(F.explode(F.array("c0", "c1", "c2", "c3", "c4")).alias("h")).select(F.col("h").bitwiseAND((1 << FILTER) - 1).alias("p"))
-    words = h.groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("m")).toPandas()
-    out = np.zeros(1 << (FILTER - 6), np.uint64)
+def _bit_set(tail: DataFrame) -> tuple[int, np.ndarray]:
+    """(bits, bit set of all tail words and contexts): 16 bits for each, at most 2**MOST."""
+    size = min(MOST, max(LEAST_BITS, int(tail.count() * (ORDERS + 1) * 16).bit_length()))
+    h = tail.select(F.explode(F.array(*(f"c{i}" for i in range(ORDERS + 1)))).alias("h")).select(F.col("h").bitwiseAND((1 << size) - 1).alias("p"))
+    words = h.groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("m")).toPandas()  # at most 2**(MOST - 6) rows
+    out = np.zeros(1 << (size - 6), np.uint64)
     out[words["w"].to_numpy()] = words["m"].to_numpy().astype(np.int64).view(np.uint64)
-    return out
+    return size, out
 
 
 def counts(df: DataFrame, tail: DataFrame) -> DataFrame:
@@ -188,10 +232,11 @@ def counts(df: DataFrame, tail: DataFrame) -> DataFrame:
     (not contexts) the tails themselves don't count, and ``longer`` counts occurrences of words that
     begin with this one.
     """
-    bits = df.sparkSession.sparkContext.broadcast(_bit_set(tail))
+    size, table = _bit_set(tail)
+    bits = df.sparkSession.sparkContext.broadcast(table)
 
     def known(h: np.ndarray) -> np.ndarray:
-        p = h & np.uint64((1 << FILTER) - 1)
+        p = h & np.uint64((1 << size) - 1)
         return (bits.value[(p >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63))) & np.uint64(1) == 1
 
     def totals(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:

@@ -1,19 +1,21 @@
 """Texts cut off by field limits or broken transfers, and how often each source cuts.
 
-A text is cut if it ends inside a word or inside a sentence.  In order of evidence:
-
-1. a broken end (half an escape, entity, tag or multibyte character);
-2. a last word that is only the beginning of known words: by the corpus, words that go on from it are
-   more than LETTERS times as frequent as the word itself;
-3. a place where sentences don't end: the longest telling context ends below ENDS of its occurrences;
-4. structure left open in the last line, where contexts don't speak clearly;
-5. the baseline of the source: bare ends pile up at one length far beyond the lengths around it.
-
-An end closed by a full stop, a closing quote, bracket or markup is complete unless 1 holds, but dots that
-follow the cut (``...``) don't count as a full stop.  Evidence 2 to 5 needs a bare end.
-
-Defined cases: NULL, empty and blank texts are never cut; repeated rows are judged alike; a NULL source is
-a source of its own; ids must be unique; other columns are ignored.
+A stack automaton reads each text to its end (``tails.scan``).  A text is complete if it ends outside any token and
+with a terminator or another closing mark.  The others are judged in this order:
+
+* broken: the text ends inside an escape, entity, tag or multibyte character;
+* open: a quote, bracket or markup is still on the stack;
+* terminator: the source ends at least BASELINE of its lines of this shape with a terminator, and here it is missing;
+* word, place, limit: the baseline of the source says nothing about lines of this shape (its items, headings or
+  labels have none, or it has no such lines), so the corpus statistics decide: the last word only begins known words,
+  the place is one where sentences don't end, or bare ends of the source pile up at one length.
+
+Writers leave out terminators too, so an accusation by ``open`` or ``terminator`` is checked: it falls where the word
+is whole and the corpus shows that its place ends sentences (the longest telling context ends in ENDS of its
+occurrences or more).  Dots that follow a cut (``...``) don't count as a terminator; their place must speak.
+
+Defined cases: NULL, empty and blank texts are never cut; repeated rows are judged alike and copies bear no witness for
+each other; a NULL source is a source of its own; ids must be unique; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,6 +28,8 @@ from askmill.llm import tails
 from askmill.plans.workspace import settle
 
 ENDS, ENDS_NUMBER = 0.12, 0.01
+#: A source speaks about a shape if it has this many such lines, else all sources together do.
+BASELINE, LINES = 0.9, 20
 LETTERS = 8
 PILE, AROUND, TIMES = 8, 8, 24
 
@@ -45,6 +49,20 @@ def piles(bare: DataFrame) -> DataFrame:
     return by.withColumn("near", near).where((F.col("k") >= PILE) & (F.col("k") * 2 * AROUND >= TIMES * F.greatest("near", F.lit(1)))).select("src", "n")
 
 
+def baselines(found: DataFrame) -> DataFrame:
+    """(src, shape, rate): share of the lines of each shape that end with a terminator, by source (each text once).
+
+    Summed over (src, copy) first, so a group of copies is one row; a source with few such lines takes the rate of all.
+    A row per source and shape.
+    """
+    once = found.groupBy("src", "copy").agg(F.first("lines").alias("lines"))
+    by = once.select("src", F.inline("lines")).groupBy("src", "shape").agg(F.sum("n").alias("n"), F.sum("ended").alias("ended"))
+    every = by.groupBy("shape").agg(F.sum("n").alias("all_n"), F.sum("ended").alias("all_ended"))
+    sources = found.select("src").distinct().crossJoin(F.broadcast(every))
+    own = sources.join(by, sources["src"].eqNullSafe(by["src"]) & (sources["shape"] == by["shape"]), "left").select(sources["src"], sources["shape"], "n", "ended", "all_n", "all_ended")
+    return own.select("src", "shape", F.when(F.col("n") >= LINES, F.col("ended") / F.col("n")).when(F.col("all_n") >= LINES, F.col("all_ended") / F.col("all_n")).alias("rate"))
+
+
 def cut_word(silent: int = LETTERS) -> Column:
     """The last word is the beginning of other words rather than a word (numbers go on anyhow).
 
@@ -67,18 +85,25 @@ def judge(df: DataFrame, id_col: str, text: str, source: str) -> DataFrame:
     found = tails.judged(tail, tails.counts(docs, tail)).join(docs.select("id", "src", F.xxhash64("text").alias("copy")), "id")
     found = settle(found.withColumn("bare", F.coalesce(F.col("suffix").rlike(BARE), F.lit(False))).drop(*(f"c{i}" for i in range(tails.ORDERS + 1))), "judged")
     at_limit = piles(found.where("bare")).withColumn("at_limit", F.lit(True))
+    base = settle(baselines(found), "baselines")
     # few rows per source: AQE broadcasts what is small by measure
-    j = found.join(at_limit, ["src", "n"], "left")
+    j = found.join(at_limit, ["src", "n"], "left").drop("lines")
+    j = j.join(base.withColumnsRenamed({"src": "b_src", "shape": "b_shape"}), j["src"].eqNullSafe(F.col("b_src")) & (j["shape"] == F.col("b_shape")), "left")
     unclear = F.coalesce(F.col("p_end") < 0.5, F.lit(True))
+    odd_word, odd_place = cut_word(silent=1), cut_place(ENDS)  # the word stands as it never does inside a text
+    # dots after the word may be the writer's
+    dotted = F.col("suffix").rlike(r"\.\.\.|…")
+    stands = odd_word | odd_place | (F.col("p_end").isNull() & ~dotted)
     why = (
         F.when(F.col("broken"), "broken")
         .when(~F.col("bare"), None)
-        .when(cut_word(silent=1), "word")  # the word stands as it never does inside a text
-        .when(cut_place(ENDS), "place")
-        .when((F.col("open") != "") & unclear, "open")
+        .when((F.col("open") != "") & (unclear | odd_word), "open")
+        .when(F.coalesce(F.col("rate") >= BASELINE, F.lit(False)), F.when(stands, "terminator"))
+        .when(odd_word, "word")
+        .when(odd_place, "place")
         .when(F.col("at_limit") & unclear, "limit")
     )
-    return j.select("id", "src", "n", "word", "suffix", "p_end", "support", "seen", "longer", "open", why.alias("why")).withColumn("cut", F.col("why").isNotNull())
+    return j.select("id", "src", "n", "word", "suffix", "shape", "rate", "p_end", "support", "seen", "longer", "open", why.alias("why")).withColumn("cut", F.col("why").isNotNull())
 
 
 def rates(df: DataFrame, judged: DataFrame, source: str) -> DataFrame:

@@ -63,9 +63,34 @@ def test_no_texts(spark):
     assert truncation.judge(spark.createDataFrame([(1, None, "a")], "doc_id long, text string, source string"), "doc_id", "text", "source").count() == 0
 
 
-@pytest.mark.parametrize(("text", "left"), [("a (b [c", ")]"), ("a (b) [c]", ""), ('say "x', '"'), ('say "x"', ""), ("{ a ```", "}`"), ("(a\n\nb", "")])
+STACKS = [("a (b [c", ")]"), ("a (b) [c]", ""), ('say "x', '"'), ('say "x"', ""), ('say "x\ny', ""), ("{ a ```", "}`"), ("(a\n\nb", ""), ("„a“ (b", ")"), ("<p>a <b>c</p>", ""), ("<p>a<br>", "<p"), ("a \\( b", "")]
+
+
+@pytest.mark.parametrize(("text", "left"), STACKS)
 def test_stack(text, left):
-    assert tails.open_at_end(text) == left
+    half, stack, _, _ = tails.scan(text)
+    assert (half, stack) == (False, left)
+
+
+@pytest.mark.parametrize(("text", "half"), [("a \\", True), ("a \\u00", True), ("a \\u00e9", False), ("a &am", True), ("a &amp;", False), ("a & b", False), ("a <sp", True), ("a < b", False), ("a \ufffd", True), ("a \ufffd b", False), ("x" * 50_000 + "<a", True)])
+def test_ends_inside_a_token(text, half):
+    assert tails.scan(text)[0] is half
+
+
+def test_shapes_and_their_lines():
+    _, _, last, lines = tails.scan("One two three four five six.\n- item\n\n== Head ==\nSource: a, 1990.\n| a | b |\nSeven words that end with no terminator")
+    assert last == "prose" and lines == {"prose": [1, 1], "item": [1, 0], "heading": [1, 0], "source:": [1, 1], "row": [1, 0]}
+    assert tails.shape("Ref 12/1963") == "short" and tails.scan("")[2:] == ("short", {})
+
+
+def test_the_baseline_of_the_source_judges_missing_terminators(spark):
+    """The same unseen end is cut where the source ends its lines with full stops, and not where it never does."""
+    line = lambda i, stop: f"Line number {i} of the harbour log tells about weather{stop}"
+    rows = [(i, "\n".join(line(i * 9 + k, "." if i % 2 else "") for k in range(8)), "stops" if i % 2 else "bare") for i in range(60)]
+    rows += [(1000, rows[1][1] + "\nQuite another kind of text goes here towards xyzzy", "stops"), (1001, rows[0][1] + "\nSome other kind of phrase stands at plugh", "bare")]
+    j = {r.id: r for r in truncation.judge(spark.createDataFrame(rows, "doc_id long, text string, source string"), "doc_id", "text", "source").collect()}
+    assert (j[1000].why, j[1000].rate) == ("terminator", 1.0) and (j[1001].why, j[1001].rate) == (None, 0.0)
+    assert all(not r.cut for i, r in j.items() if i < 1000)
 
 
 def test_suffix_automaton_against_brute_force():
