@@ -74,7 +74,9 @@ def cut_word(silent: int = LETTERS) -> Column:
 
 def cut_place(ends: float) -> Column:
     """The context doesn't end anything here; numbers share their class with all of their length, so they need more."""
-    return F.coalesce(F.col("p_end") < F.when(F.col("word").rlike(NUMERIC), ENDS_NUMBER).otherwise(ends), F.lit(False)) | F.col("never_last")
+    number = F.col("word").rlike(NUMERIC)
+    ended = F.coalesce(F.col("p_end") >= ends, F.lit(False))
+    return F.coalesce(F.col("p_end") < F.when(number, ENDS_NUMBER).otherwise(ends), F.lit(False)) | (F.col("never_last") & ~(number & ended))
 
 
 def judge(df: DataFrame, id_col: str, text: str, source: str) -> DataFrame:

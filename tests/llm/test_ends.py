@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from askmill.llm import pairs, tails, truncation
 
@@ -129,6 +130,23 @@ Q = "Where was the maker of Udam Wintev born?"
         (Q, "Das stille Yoris", None),
         ("In welcher Stadt wurde die Person geboren?", "in der Stadt Morholm", None),
         (None, "Where was he born?", None),
+        (Q, "Im Westen nichts Neues", None),
+        (Q, "The Unanswered Question", None),
+        (Q, "Rien de Rien", None),
+        (Q, "Can't Tell Me Nothing", None),
+        (Q, "Not Found", None),
+        (Q, "Not found.", "refusal"),
+        (Q, "Keine Angabe", "refusal"),
+        (Q, "It is not known as a city but as a town, Bern", None),
+        (Q, "Он родился в городе Москва", "other_language"),
+        (Q, "他出生在上海的一个小村庄", "other_language"),
+        (Q, "Hij werd geboren in Amsterdam", "other_language"),
+        (Q, "Urodził się w Warszawie", "other_language"),
+        (Q, "Достоевский", None),
+        (Q, "北京", None),
+        ("Где он родился?", "Он родился в городе Москва", None),
+        ("Где он родился?", "He was born in that town", "other_language"),
+        ("彼はどこで生まれましたか", "東京で生まれたと書かれています", None),
         ("", "Morholm", None),
         (Q, "x" * 20_000, None),
     ],
@@ -142,6 +160,31 @@ def test_unfinished(text, want):
     assert pairs.unfinished(text) is want
 
 
+def test_whole_answers():
+    assert pairs.whole("Which is older, Oskmere Works or Velmorra?", "Oskmere Works") and pairs.whole(None, "Ja") and not pairs.whole("the hall named after the founder of X", "the hall named after the founder of")
+    assert pairs.name_like("The Lantern of Mirlo 4") and not pairs.name_like("The Lantern of") and not pairs.name_like("")
+
+
+def test_the_order_of_conditions_changes_no_copy():
+    rng = random.Random(2)
+    words = "where was the maker of udam wintev born it is answer".split()
+    for _ in range(300):
+        a = " ".join(rng.choice(words) for _ in range(rng.randint(1, 12)))
+        q = " ".join(rng.choice(words) for _ in range(rng.randint(1, 10)))
+        share, longest = pairs.coverage(pairs.plain(q), pairs.plain(a))
+        if pairs.copies(q, a):
+            assert share >= pairs.COPY_QUESTION
+        if share < pairs.COPY_QUESTION:
+            assert not pairs.copies(q, a)
+
+
+def test_gold_answers_are_not_read(spark, corpus):
+    rows = [(i, f"q{i}?", t, "x" if i % 2 else None) for i, t, _, _ in corpus] + [(1000, "q?", "Records at Brimby mention the wooden br", "Records at Brimby mention the wooden br"), (1001, "q?", "Records at Brimby mention the wooden br", None)]
+    df = spark.createDataFrame(rows, "pred_id long, question string, answer string, gold_answer string").withColumn("full_response", F.lit(None).cast("string"))
+    got = {r.id: r.defect for r in pairs.inspect(df.drop("gold_answer")).collect()}
+    assert got == {r.id: r.defect for r in pairs.inspect(df).collect()} and got[1000] == got[1001] == "truncated"
+
+
 def test_shortened():
     assert pairs.shortened("born in Pelmi", "He was born in Pelmiquay.") and not pairs.shortened("Pelmiquay", "in Pelmiquay.") and not pairs.shortened("no", "nothing")
 
