@@ -42,6 +42,14 @@ def test_missing_sources_empty_documents_and_odd_targets(spark):
 
 def test_expected():
     size, n = np.array([1, 2, 10]), np.array([5, 5, 1])
-    c = M.expected(12, 1, size, n)
+    classes = size, n * size, n * size * size
+    c = M.expected(12, 1, *classes)
     assert sum(n * size * np.minimum(1, c * size)) == pytest.approx(12)
-    assert M.expected(25, 1, size, n) == np.inf or sum(n * size * np.minimum(1, M.expected(25, 1, size, n) * size)) == pytest.approx(25)
+    assert M.expected(25, 1, *classes) == np.inf or sum(n * size * np.minimum(1, M.expected(25, 1, *classes) * size)) == pytest.approx(25)
+
+
+def test_tiny_and_equal_chances(spark):
+    """A tiny share of many equal documents: ranks lie far out and close together, the total is still met."""
+    docs = [(i, "a", 7) for i in range(20_000)] + [(90_000, "b", 70)]
+    rows, s = chosen(spark, docs, [("m", "a", 0.5, 1), ("m", "b", 0.5, 1)])
+    assert s["m", "a"].tokens == 70 and s["m", "b"].tokens == 70 and len(rows) == 11
