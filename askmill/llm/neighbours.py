@@ -1,15 +1,26 @@
 """The k most similar vectors of every vector, by a hash-prefix forest.
 
-Each of TREES trees hashes a vector to BITS sign bits of a random rotation, a long hash string.  A tree is
-the array of all hash strings in order; a node is a common prefix.  All rows are counted by tree and by
-their first DEPTH bits, and from these counts each tree is cut at variable depth: a vector descends while
-its node holds more than LEAF vectors.  Where the counts at DEPTH are still larger, the descent goes on by
-as many further bits as the count needs.  All trees then ascend together to these nodes: the candidates of
-a vector are all vectors below its node in any tree, compared by exact cosine in blocks of about LEAF rows.
-
-A block is a node, so no task gets more than a node's vectors; the counts are TREES * 2**DEPTH numbers
-whatever the data.  Equal vectors are collapsed to one class before hashing, so a group of copies can't
-fill a node.  The loss of accuracy is measured in tests and README (recall against brute force).
+Each of TREES trees hashes a vector to BITS sign bits of random rotations, a long hash string.  A tree is the sorted
+array of all its hash strings; a node is a common prefix, so a run of the array.
+
+1. Descent (``descend``).  In each tree every vector finds its place in the array.  Its longest prefix match is the
+   longest prefix that it shares with a neighbour there; from it upwards its nodes grow.  For each tree the depths are
+   noted at which the node of the vector has grown to 2, 4, 8, ... members.
+2. Ascent (``ascend``).  All trees ascend together, one prefix length at a time, until the nodes of the vector at that
+   depth have CANDIDATES members in all trees together: dense regions stop deep, sparse ones go further up.
+3. Search (``search``).  In each tree the vector is compared with the members of its node at that depth, at most REACH to
+   either side of its place in the array.  The best KEPT of all trees are its list.
+4. Check (``check``).  Each list is compared exactly, all its members with each other too: what two members of a list
+   are to each other may be missing in their own lists.  The k best are the neighbours.
+
+The arrays are cut into ranges of about SPAN rows at quantiles of the hash strings (a documented sample of at most SAMPLE
+vectors gives the bounds, every vector is indexed; at most RANGES a tree).  A vector whose node goes on in the next
+range visits that range too.  A hash string that fills several ranges is spread over them by id.  So no task gets more
+than a range and its visitors, however the data are skewed, and only the bounds are the driver's.  The descent moves ids
+and hash strings, the search 8-bit codes, the check 16-bit codes (cosines are good to about 1e-5).
+
+Equal vectors are collapsed to one class before hashing, so a group of copies can't fill a node.  The loss of accuracy is
+measured in tests and README (recall against brute force); CANDIDATES counts for each doubling of the collection.
 
 Defined cases: only vectors of exactly ``dim`` finite numbers, not all zero, take part; NULL vectors and NULL
 elements don't; ids must be unique; ties go to the smaller id; a collection of fewer than k + 1 vectors
@@ -28,10 +39,18 @@ from pyspark.sql import functions as F
 
 from askmill.plans.workspace import settle
 
-TREES = 12
-LEAF = 1024
-DEPTH = 12
-BITS = 48
+TREES = 8
+BITS = 60
+CANDIDATES = 1024
+REACH = 4096
+KEPT = 10
+SPAN, RANGES, SAMPLE = 16_384, 4096, 1 << 18
+#: Node sizes are noted at powers of two up to 2**STEPS.
+STEPS = 16
+#: Cosines of 8-bit codes are good to about this.
+ROUGH = 0.006
+#: Rows of one Python call where rows are gathered by id.
+GATHER = 200_000
 SEED = 20
 
 
@@ -64,10 +83,11 @@ def _unpack(column: pa.Array, dim: int) -> np.ndarray:
 
 
 def rotations(dim: int, trees: int) -> np.ndarray:
-    """Random orthogonal directions, dim x (trees * bits)."""
+    """Random orthogonal directions, dim x (trees * BITS); several rotations a tree where dim is less."""
     rng = np.random.default_rng(SEED)
-    bits = min(BITS, dim)
-    return np.concatenate([np.linalg.qr(rng.standard_normal((dim, dim)))[0][:, :bits] for _ in range(trees)], axis=1).astype(np.float32)
+    each = -(-BITS // dim)
+    tree = lambda: np.concatenate([np.linalg.qr(rng.standard_normal((dim, dim)))[0] for _ in range(each)], axis=1)[:, :BITS]
+    return np.concatenate([tree() for _ in range(trees)], axis=1).astype(np.float32)
 
 
 def _hashes(x: np.ndarray, planes: np.ndarray, trees: int) -> np.ndarray:
@@ -77,86 +97,270 @@ def _hashes(x: np.ndarray, planes: np.ndarray, trees: int) -> np.ndarray:
     return signs.astype(np.int64) @ weight
 
 
-def _cuts(counts: np.ndarray, leaf: int, depth: int, bits: int) -> np.ndarray:
-    """For each tree and prefix of ``depth`` bits, the depth at which its descent ends."""
-    out = np.zeros_like(counts)
-    for tree in range(len(counts)):
-        level = counts[tree].copy()
-        node = [level]
-        for _ in range(depth):
-            level = level.reshape(-1, 2).sum(axis=1)
-            node.append(level)
-        at = np.arange(counts.shape[1])
-        end = np.full(counts.shape[1], -1)
-        for d in range(depth + 1):
-            size = node[depth - d][at >> (depth - d)]
-            end = np.where((end < 0) & (size <= leaf), d, end)
-        more = np.ceil(np.log2(np.maximum(node[0][at], 1) / leaf)).clip(0).astype(int)
-        out[tree] = np.where(end < 0, np.minimum(depth + more, bits), end)
+def _codes(x: np.ndarray, kind: type) -> np.ndarray:
+    """Rows as scaled integers with their scale in the last four bytes."""
+    most = np.iinfo(kind).max
+    scale = np.maximum(np.abs(x).max(axis=1, keepdims=True), 1e-30).astype(np.float32) / most
+    return np.concatenate([np.rint(x / scale).astype(kind).view(np.uint8), scale.view(np.uint8)], axis=1)
+
+
+def _decoded(column: pa.Array, dim: int, kind: type) -> np.ndarray:
+    raw = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
+    size = dim * np.dtype(kind).itemsize
+    return np.ascontiguousarray(raw[:, :size]).view(kind).astype(np.float32) * np.ascontiguousarray(raw[:, size:]).view(np.float32)
+
+
+def _blobs(x: np.ndarray) -> pa.Array:
+    return pa.array([r.tobytes() for r in x], pa.binary())
+
+
+def _ranges(bounds: np.ndarray, h: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Number of the range of each hash string; one that fills several ranges is spread over them by id."""
+    last = np.searchsorted(bounds, h, side="right")
+    times = last - np.searchsorted(bounds, h, side="left")
+    return np.where(times > 1, last - ids % np.maximum(times, 1), last)
+
+
+def growth(h: np.ndarray, bits: int) -> np.ndarray:
+    """Depths at which the nodes of each string of a sorted array have grown to 2, 4, ... 2**STEPS members: rows x STEPS.
+
+    The root (depth 0) stands for what never grows so far.
+    """
+    n = len(h)
+    out = np.zeros((n, STEPS), np.int8)
+    apart = h[1:] ^ h[:-1]
+    shared = np.full(n + 1, -1)
+    shared[1:n] = bits - np.where(apart > 0, np.frexp(apart.astype(np.float64))[1], 0)
+    wide = apart >= 1 << 52  # where a double may round up to the next power
+    if wide.any():
+        shared[1:n][wide] = [bits - int(a).bit_length() for a in apart[wide]]
+    open_rows = np.ones((n, STEPS), bool)
+    for depth in range(bits, -1, -1):
+        starts = np.flatnonzero(shared[:-1] < depth)
+        size = np.diff(np.append(starts, n))
+        if (size < 2).all():
+            continue
+        grown = np.repeat(np.frexp(size.astype(np.float64))[1] - 1, size)  # floor of the logarithm
+        hit = (np.arange(1, STEPS + 1)[None, :] <= grown[:, None]) & open_rows
+        out[hit] = depth
+        open_rows &= ~hit
     return out
 
 
-def forest(heads: DataFrame, dim: int, k: int, trees: int = TREES, leaf: int = LEAF) -> DataFrame:
-    """(a, b, sim): for each vector, its k best candidates of each tree."""
-    planes = rotations(dim, trees)
-    bits, depth = planes.shape[1] // trees, min(DEPTH, planes.shape[1] // trees)
+def stop_depths(steps: np.ndarray, enough: int, bits: int) -> np.ndarray:
+    """The depth at which the synchronous ascent of each row stops; ``steps``: rows x trees x STEPS."""
+    sizes = (1 << np.arange(1, STEPS + 1)).astype(np.int64)
+    gain = np.diff(np.concatenate([[1], sizes]))  # members that a node has won at each step
+    out = np.zeros(len(steps), np.int64)
+    open_rows = np.ones(len(steps), bool)
+    for depth in range(bits, 0, -1):
+        total = steps.shape[1] + ((steps >= depth) * gain).sum(axis=(1, 2))
+        hit = open_rows & (total >= enough)
+        out[hit] = depth
+        open_rows &= ~hit
+    return out
+
+
+def _bounds(heads: DataFrame, n: int, dim: int, planes: np.ndarray, trees: int, span: int) -> np.ndarray:
+    """Bounds between the ranges of each tree, trees x (ranges - 1)."""
+    ranges = min(RANGES, -(-n // span))
+    if ranges < 2:
+        return np.zeros((trees, 0), np.int64)
+    some = max(1, n // SAMPLE)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((trees, 1 << depth), np.int64)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            h = _hashes(_unpack(b.column(0), dim), planes, trees) >> (bits - depth)
-            for tree in range(trees):
-                total[tree] += np.bincount(h[:, tree], minlength=1 << depth)
-        tree, prefix = np.nonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(tree), pa.array(prefix), pa.array(total[tree, prefix])], ["tree", "prefix", "n"])
+            h = _hashes(_unpack(b.column(0), dim), planes, trees)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in h.T], [f"h{t}" for t in range(trees)])
+
+    rows = heads.where(F.pmod(F.xxhash64("id"), F.lit(some)) == 0).select("v").mapInArrow(run, ", ".join(f"h{t} bigint" for t in range(trees)))
+    at = [i / ranges for i in range(1, ranges)]
+    found = rows.agg(*(F.percentile_approx(f"h{t}", at, max(10_000, 20 * ranges)).alias(f"h{t}") for t in range(trees))).first()  # one row
+    return np.array([found[t] for t in range(trees)], np.int64)
+
 
-    table = heads.select("v").mapInArrow(count, "tree bigint, prefix bigint, n bigint").groupBy("tree", "prefix").agg(F.sum("n").alias("n")).toPandas()  # at most trees * 2**depth rows
-    counts = np.zeros((trees, 1 << depth), np.int64)
-    counts[table["tree"], table["prefix"]] = table["n"]
-    ends = heads.sparkSession.sparkContext.broadcast(_cuts(counts, leaf, depth, bits))
+def descend(heads: DataFrame, dim: int, planes: np.ndarray, trees: int, bounds: np.ndarray) -> DataFrame:
+    """(id, steps): for each vector and tree the depths at which its nodes grow."""
+    bits = planes.shape[1] // trees
+    ranges = bounds.shape[1] + 1
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, h = b.column(0).to_numpy(), _hashes(_unpack(b.column(1), dim), planes, trees)
+            for t in range(trees):
+                yield pa.RecordBatch.from_arrays([pa.array(t * ranges + _ranges(bounds[t], h[:, t], ids)), b.column(0), pa.array(h[:, t])], ["node", "id", "h"])
+
+    def grow(t: pa.Table) -> pa.Table:
+        h = t.column("h").to_numpy()
+        order = np.argsort(h)
+        steps = growth(h[order], bits)
+        return pa.table({"id": t.column("id").take(pa.array(order)), "steps": _blobs(steps)})
+
+    return heads.select("id", "v").mapInArrow(place, "node bigint, id bigint, h bigint").groupBy("node").applyInArrow(grow, "id bigint, steps binary")
+
+
+def _gathered(rows: DataFrame, key: str, n: int, each: int):
+    """``rows`` grouped so that all rows of a key meet in one call of about GATHER rows."""
+    parts = max(1, -(-n * each // GATHER))
+    return rows.withColumn("_part", F.pmod(F.xxhash64(key), F.lit(parts))).groupBy("_part")
+
+
+def ascend(grown: DataFrame, n: int, trees: int, enough: int, bits: int) -> DataFrame:
+    """(id, depth): the depth of each vector's nodes when all trees together hold ``enough`` members."""
+
+    def stop(t: pa.Table) -> pa.Table:
+        ids = t.column("id").to_numpy()
+        order = np.argsort(ids, kind="stable")
+        steps = np.frombuffer(b"".join(t.column("steps").to_pylist()), np.int8).reshape(len(ids), STEPS)[order]
+        one = ids[order][::trees]
+        depths = [stop_depths(steps[lo * trees : (lo + 4096) * trees].reshape(-1, trees, STEPS), enough, bits) for lo in range(0, len(one), 4096)]
+        return pa.table({"id": pa.array(one), "depth": pa.array(np.concatenate(depths).astype(np.int32) if depths else np.empty(0, np.int32))})
+
+    return _gathered(grown, "id", n, trees).applyInArrow(stop, "id bigint, depth int")
+
+
+def search(placed: DataFrame, dim: int, planes: np.ndarray, trees: int, bounds: np.ndarray, kept: int, reach: int) -> DataFrame:
+    """(id, others, sims): for each tree the best candidates of each row of (id, v, depth), by 8-bit codes."""
+    bits = planes.shape[1] // trees
+    ranges = bounds.shape[1] + 1
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 2000):
-                b = whole.slice(at, 2000)
-                h = _hashes(_unpack(b.column(1), dim), planes, trees)
-                for tree in range(trees):
-                    d = ends.value[tree][h[:, tree] >> (bits - depth)]
-                    # a node is named by its prefix with a leading 1, so depths can't be mixed up
-                    node = ((1 << d) | (h[:, tree] >> (bits - d))) * 64 + tree
-                    yield pa.RecordBatch.from_arrays([pa.array(node), b.column(0), b.column(1)], ["node", "id", "v"])
+            for at in range(0, whole.num_rows, 4000):
+                b = whole.slice(at, 4000)
+                ids, depth, x = b.column(0).to_numpy(), b.column(2).to_numpy(), _unpack(b.column(1), dim)
+                h, codes = _hashes(x, planes, trees), _blobs(_codes(x, np.int8))
+                free = (bits - depth).astype(np.int64)
+                for t in range(trees):
+                    own = _ranges(bounds[t], h[:, t], ids)
+                    low = h[:, t] >> free << free
+                    before = np.flatnonzero((own > 0) & (np.searchsorted(bounds[t], low, side="right") < own))
+                    after = np.flatnonzero((own < ranges - 1) & (np.searchsorted(bounds[t], low + (np.int64(1) << free) - 1, side="right") > own))
+                    for rows, to, visits in ((np.arange(len(ids)), own, False), (before, own[before] - 1, True), (after, own[after] + 1, True)):
+                        take = pa.array(rows)
+                        yield pa.RecordBatch.from_arrays([pa.array(t * ranges + to), b.column(0).take(take), pa.array(h[rows, t]), b.column(2).take(take), pa.array(np.full(len(rows), visits)), codes.take(take)], ["node", "id", "h", "depth", "visits", "code"])
 
     def best(t: pa.Table) -> pa.Table:
-        ids, x = t.column("id").to_numpy(), _unpack(t.column("v"), dim)
-        order = np.argsort(ids)
-        ids, x = ids[order], x[order]
-        out = []
-        for lo in range(0, len(ids), 512):
-            s = x[lo : lo + 512] @ x.T
-            s[np.arange(len(s)), lo + np.arange(len(s))] = -2
-            m = min(k, len(ids) - 1)
-            if m < 1:
+        t = t.take(pa.array(np.lexsort((t.column("id").to_numpy(), t.column("h").to_numpy()))))
+        ids, h, depth, visits = (t.column(c).to_numpy() for c in ("id", "h", "depth", "visits"))
+        x = _decoded(t.column("code"), dim, np.int8)
+        points = np.flatnonzero(~visits)
+        ph, px, pid = h[points], x[points], ids[points]
+        free = (bits - depth).astype(np.int64)
+        low = h >> free << free
+        a, z = np.searchsorted(ph, low), np.searchsorted(ph, low + (np.int64(1) << free) - 1, side="right")
+        here = np.clip(np.searchsorted(points, np.arange(len(ids))), a, z)
+        a, z = np.maximum(a, here - reach), np.minimum(z, here + reach)
+        others, sims = [], []
+        for lo in range(0, len(ids), 256):
+            q = slice(lo, lo + 256)
+            left, right = int(a[q].min()), int(z[q].max())
+            if right <= left:
+                others += [[]] * len(a[q])
+                sims += [[]] * len(a[q])
                 continue
+            s = x[q] @ px[left:right].T
+            at = np.arange(left, right)
+            s[(at < a[q, None]) | (at >= z[q, None]) | (pid[left:right] == ids[q, None])] = -2
+            m = min(kept, right - left)
             top = np.argpartition(-s, m - 1, axis=1)[:, :m]
-            out.append((np.repeat(ids[lo : lo + 512], m), ids[top].ravel(), np.take_along_axis(s, top, 1).ravel()))
+            got = np.take_along_axis(s, top, 1)
+            for row, found, ok in zip(pid[left:right][top], got, got > -1.5):
+                others.append(row[ok])
+                sims.append(found[ok])
+        return pa.table({"id": pa.array(ids), "others": pa.array(others, pa.list_(pa.int64())), "sims": pa.array(sims, pa.list_(pa.float32()))})
+
+    rows = placed.mapInArrow(place, "node bigint, id bigint, h bigint, depth int, visits boolean, code binary")
+    return rows.groupBy("node").applyInArrow(best, "id bigint, others array<bigint>, sims array<float>")
+
+
+def _ranked(key: np.ndarray, other: np.ndarray, sim: np.ndarray, most: int) -> np.ndarray:
+    """Positions of the ``most`` best different others of each key, keys in order."""
+    order = np.lexsort((-sim, other, key))
+    k, o = key[order], other[order]
+    order = order[np.append(True, (k[1:] != k[:-1]) | (o[1:] != o[:-1]))] if len(order) else order
+    order = order[np.lexsort((other[order], -sim[order], key[order]))]
+    k = key[order]
+    first = np.flatnonzero(np.append(True, k[1:] != k[:-1])) if len(k) else np.empty(0, np.int64)
+    return order[np.arange(len(k)) - np.repeat(first, np.diff(np.append(first, len(k)))) < most]
+
+
+def lists(found: DataFrame, n: int, trees: int, k: int, kept: int) -> DataFrame:
+    """(id, near, least): the best of all trees, and the similarity that the k-th of them has."""
+
+    def merge(t: pa.Table) -> pa.Table:
+        lens = t.column("others").combine_chunks().value_lengths().to_numpy()
+        key = np.repeat(t.column("id").to_numpy(), lens)
+        other, sim = (t.column(c).combine_chunks().flatten().to_numpy() for c in ("others", "sims"))
+        at = _ranked(key, other, sim, kept)
+        key, other, sim = key[at], other[at], sim[at]
+        ids, first, count = np.unique(key, return_index=True, return_counts=True)
+        least = np.where(count >= k, sim[first + np.minimum(k, count) - 1], -2).astype(np.float32) if len(ids) else np.empty(0, np.float32)
+        near = pa.ListArray.from_arrays(pa.array(np.append(first, len(key)).astype(np.int32)), pa.array(other, pa.int64()))
+        return pa.table({"id": pa.array(ids, pa.int64()), "near": near, "least": pa.array(least)})
+
+    return _gathered(found, "id", n, trees).applyInArrow(merge, "id bigint, near array<bigint>, least float")
+
+
+def check(heads: DataFrame, listed: DataFrame, n: int, dim: int, kept: int) -> DataFrame:
+    """(a, b, sim): exact similarities within each list and its owner, as far as they may matter to ``a``."""
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), _blobs(_codes(_unpack(b.column(1), dim), np.int16)), b.column(2)], ["id", "code", "least"])
+
+    vectors = heads.join(listed.select("id", "least"), "id").select("id", "v", "least").mapInArrow(encode, "id bigint, code binary, least float")
+    members = listed.select(F.col("id").alias("owner"), F.explode(F.concat(F.array("id"), "near")).alias("id"))
+    rows = members.join(vectors, "id").select("owner", "id", "code", "least")
+
+    def compare(t: pa.Table) -> pa.Table:
+        owner = t.column("owner").to_numpy()
+        order = np.argsort(owner, kind="stable")
+        owner, ids, least = owner[order], t.column("id").to_numpy()[order], t.column("least").to_numpy()[order]
+        x = _decoded(t.column("code").take(pa.array(order)), dim, np.int16)
+        first = np.flatnonzero(np.append(True, owner[1:] != owner[:-1])) if len(owner) else np.empty(0, np.int64)
+        size = np.diff(np.append(first, len(owner)))
+        out = []
+        for m in np.unique(size):  # lists of one length at a time
+            for at in np.array_split(first[size == m], -(-int((size == m).sum()) // 2048)):
+                rows = at[:, None] + np.arange(m)
+                y = x[rows]
+                s = np.einsum("gid,gjd->gij", y, y, optimize=True)
+                s[:, np.arange(m), np.arange(m)] = -2
+                g, i, j = np.nonzero(s >= least[rows][:, :, None] - ROUGH)
+                keep = s[g, i, j] > -1.5
+                g, i, j = g[keep], i[keep], j[keep]
+                out.append((ids[rows[g, i]], ids[rows[g, j]], s[g, i, j]))
         cols = [np.concatenate(c) for c in zip(*out)] if out else [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.float32)]
         return pa.table({"a": pa.array(cols[0], pa.int64()), "b": pa.array(cols[1], pa.int64()), "sim": pa.array(cols[2].astype(np.float64))})
 
-    placed = heads.select("id", "v").mapInArrow(place, "node bigint, id bigint, v binary")
-    return placed.groupBy("node").applyInArrow(best, "a bigint, b bigint, sim double")
+    return _gathered(rows, "owner", n, kept + 1).applyInArrow(compare, "a bigint, b bigint, sim double")
+
+
+def forest(heads: DataFrame, dim: int, k: int, trees: int = TREES, candidates: int = CANDIDATES, reach: int = REACH, kept: int = KEPT, span: int = SPAN) -> DataFrame:
+    """(a, b, sim): similar vectors of (id, v), with the k nearest of each ``a`` among them but for the loss."""
+    n = heads.count()
+    kept = max(kept, k)
+    planes = rotations(dim, trees)
+    bounds = _bounds(heads, n, dim, planes, trees, span)
+    enough = int(candidates * max(1.0, np.log2(max(n, 2))))
+    depths = ascend(descend(heads, dim, planes, trees, bounds), n, trees, enough, BITS)
+    placed = heads.join(depths, "id").select("id", "v", "depth")
+    listed = settle(lists(search(placed, dim, planes, trees, bounds, kept, reach), n, trees, k, kept), "near-lists")
+    return check(heads, listed, n, dim, kept)
 
 
 def _first(df: DataFrame, key: str, order: list, k: int) -> DataFrame:
     return df.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("_r") <= k).drop("_r")
 
 
-def nearest(df: DataFrame, id_col: str, vector: str, dim: int, k: int = 5, trees: int = TREES, leaf: int = LEAF) -> DataFrame:
-    """(id, other, sim): the k most similar others of each usable vector."""
+def nearest(df: DataFrame, id_col: str, vector: str, dim: int, k: int = 5, **how: int) -> DataFrame:
+    """(id, other, sim): the k most similar others of each usable vector; ``how``: parameters of ``forest``."""
     all_ = settle(usable(df, id_col, vector, dim), "vectors")
     heads_of = all_.groupBy("fp").agg(F.min("id").alias("cls"))
     members = all_.select("id", "fp").join(heads_of, "fp").select("id", "cls")
-    heads = all_.join(heads_of.select(F.col("cls").alias("id")), "id", "left_semi").select("id", "v")
-    found = forest(heads, dim, k, trees, leaf).groupBy("a", "b").agg(F.max("sim").alias("sim"))
+    heads = settle(all_.join(heads_of.select(F.col("cls").alias("id")), "id", "left_semi").select("id", "v"), "vector-heads")
+    found = forest(heads, dim, k, **how).groupBy("a", "b").agg(F.max("sim").alias("sim"))
     top = _first(found, "a", [F.desc("sim"), F.asc("b")], k)
     few = _first(members, "cls", [F.asc("id")], k + 1).select(F.col("cls").alias("near"), F.col("id").alias("other"))
     reach = top.select(F.col("a").alias("cls"), F.col("b").alias("near"), "sim").unionByName(heads.select(F.col("id").alias("cls"), F.col("id").alias("near"), F.lit(1.0).alias("sim")))

@@ -23,7 +23,7 @@ def run(spark, rows, dim, k, **how):
 def test_recall_with_many_small_nodes(spark):
     rng = np.random.default_rng(3)
     x = np.repeat(rng.standard_normal((400, 32)), 6, axis=0) + 0.25 * rng.standard_normal((2400, 32))
-    got = {(a, b) for a, b, _ in run(spark, rows_of(x), 32, 5, leaf=128)}
+    got = {(a, b) for a, b, _ in run(spark, rows_of(x), 32, 5, candidates=24, span=256)}
     want = brute(x, 5)
     assert len(got) == len(want)
     assert len(got & want) / len(want) >= 0.9
@@ -40,7 +40,7 @@ def test_unusable_vectors_copies_and_ties(spark):
 def test_a_third_of_all_rows_are_copies(spark):
     rng = np.random.default_rng(5)
     x = np.concatenate([np.tile(rng.standard_normal(8), (300, 1)), rng.standard_normal((600, 8))])
-    rows = run(spark, rows_of(x), 8, 5, leaf=100)
+    rows = run(spark, rows_of(x), 8, 5, candidates=20, span=200)
     by = {}
     for a, b, s in rows:
         by.setdefault(a, []).append((b, s))
@@ -53,6 +53,35 @@ def test_pairs(spark):
     assert sorted(tuple(r) for r in N.neighbour_pairs(df).collect()) == [(1, 2), (1, 3)]
 
 
-def test_cuts_follow_the_counts():
-    counts = np.array([[600, 500, 10, 0, 0, 0, 0, 0]])
-    assert N._cuts(counts, 512, 3, 20).tolist() == [[4, 3, 2, 2, 1, 1, 1, 1]]
+def test_growth_against_brute_force():
+    rng = np.random.default_rng(1)
+    for bits in (6, 60):
+        h = np.sort(rng.integers(0, 1 << bits, 200) & ~((1 << (bits // 2)) - 1) | rng.integers(0, 8, 200))
+        got = N.growth(h, bits)
+        for i in range(0, 200, 7):
+            sizes = [int(((h >> (bits - d)) == (h[i] >> (bits - d))).sum()) for d in range(bits + 1)]
+            for j in range(N.STEPS):
+                want = max((d for d in range(bits + 1) if sizes[d] >= 2 ** (j + 1)), default=0)
+                assert got[i, j] == want
+
+
+def test_all_trees_ascend_together():
+    steps = np.zeros((1, 2, N.STEPS), np.int8)
+    steps[0, 0, :3], steps[0, 1, :2] = [9, 7, 4], [8, 2]  # nodes of 2, 4, 8 and of 2, 4 members
+    assert [int(N.stop_depths(steps, m, 12)[0]) for m in (2, 3, 4, 6, 7, 10, 12, 13)] == [12, 9, 8, 7, 4, 4, 2, 0]
+
+
+def test_ranges_spread_a_frequent_string():
+    bounds = np.array([5, 9, 9, 9, 12])
+    assert N._ranges(bounds, np.array([4, 5, 8, 13]), np.arange(4)).tolist() == [0, 1, 1, 5]
+    assert set(N._ranges(bounds, np.full(30, 9), np.arange(30)).tolist()) == {2, 3, 4}
+
+
+def test_a_region_denser_than_the_hash_strings(spark):
+    """Thousands of vectors within one hash string: spread over ranges, the result still whole."""
+    rng = np.random.default_rng(7)
+    x = np.concatenate([1 + 1e-7 * rng.standard_normal((700, 4)), rng.standard_normal((300, 4))])
+    by = {}
+    for a, b, s in run(spark, rows_of(x), 4, 3, candidates=16, span=100):
+        by.setdefault(a, []).append(s)
+    assert len(by) == 1000 and all(len(v) == 3 for v in by.values()) and all(min(by[a]) > 0.9999 for a in range(700))
