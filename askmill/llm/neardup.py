@@ -172,9 +172,35 @@ def expand_pairs(members: DataFrame, links: DataFrame) -> DataFrame:
     return across.unionByName(within)
 
 
+def components(links: DataFrame, a: str = "cls_a", b: str = "cls_b") -> DataFrame:
+    """(cls, head): the least class that each linked class can reach, by alternating large and small stars.
+
+    A large star joins the greater neighbours of a class to the least of its neighbourhood, a small star the others;
+    each step keeps as many rows as there are links, and the number of steps grows with the logarithm of the
+    longest chain.  Minima are taken map-side, so a class with many links is no single task.
+    """
+    edges = settle(links.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v"), "star")
+    last = None
+    while True:
+        both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+        floor = down.groupBy("u").agg(F.min("v").alias("m"))
+        small = down.join(floor, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
+        edges = settle(small, "star")
+        state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()  # one row
+        if state == last:
+            return edges.select(F.col("u").alias("cls"), F.col("v").alias("head"))
+        last = state
+
+
 def groups(members: DataFrame, links: DataFrame) -> DataFrame:
-    """(id, cls, links): one row per text with its class and the number of rows similar to it."""
+    """(id, cls, group_id, links): one row per text with its class of equal sets, the group that links connect it with (its
+    least class) and the number of rows similar to it."""
     sizes = members.groupBy("cls").agg(F.count("*").alias("size"))
     ends = links.select(F.col("cls_a").alias("cls"), F.col("cls_b").alias("other")).unionByName(links.select(F.col("cls_b").alias("cls"), F.col("cls_a").alias("other")))
     reach = ends.join(sizes.withColumnRenamed("cls", "other"), "other").groupBy("cls").agg(F.sum("size").alias("far"))
-    return members.join(sizes, "cls").join(reach, "cls", "left").select("id", "cls", (F.col("size") - 1 + F.coalesce("far", F.lit(0))).alias("links"))
+    heads = components(links)
+    rows = members.join(sizes, "cls").join(reach, "cls", "left").join(heads, "cls", "left")
+    return rows.select("id", "cls", F.coalesce("head", "cls").alias("group_id"), (F.col("size") - 1 + F.coalesce("far", F.lit(0))).alias("links"))

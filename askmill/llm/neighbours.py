@@ -41,7 +41,7 @@ from askmill.plans.workspace import settle
 
 TREES = 8
 BITS = 60
-CANDIDATES = 1024
+CANDIDATES = 640
 REACH = 4096
 KEPT = 10
 SPAN, RANGES, SAMPLE = 16_384, 4096, 1 << 18
@@ -251,29 +251,46 @@ def search(placed: DataFrame, dim: int, planes: np.ndarray, trees: int, bounds:
         a, z = np.searchsorted(ph, low), np.searchsorted(ph, low + (np.int64(1) << free) - 1, side="right")
         here = np.clip(np.searchsorted(points, np.arange(len(ids))), a, z)
         a, z = np.maximum(a, here - reach), np.minimum(z, here + reach)
-        others, sims = [], []
+        parts = []
         for lo in range(0, len(ids), 256):
             q = slice(lo, lo + 256)
             left, right = int(a[q].min()), int(z[q].max())
             if right <= left:
-                others += [[]] * len(a[q])
-                sims += [[]] * len(a[q])
                 continue
             s = x[q] @ px[left:right].T
             at = np.arange(left, right)
             s[(at < a[q, None]) | (at >= z[q, None]) | (pid[left:right] == ids[q, None])] = -2
-            m = min(kept, right - left)
-            top = np.argpartition(-s, m - 1, axis=1)[:, :m]
-            got = np.take_along_axis(s, top, 1)
-            for row, found, ok in zip(pid[left:right][top], got, got > -1.5):
-                others.append(row[ok])
-                sims.append(found[ok])
-        return pa.table({"id": pa.array(ids), "others": pa.array(others, pa.list_(pa.int64())), "sims": pa.array(sims, pa.list_(pa.float32()))})
+            row, col = _largest(s, kept)
+            parts.append((lo + row, pid[left + col], s[row, col]))
+        row, other, sim = (np.concatenate(c) for c in zip(*parts)) if parts else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.float32))
+        ends = pa.array(np.append(0, np.cumsum(np.bincount(row, minlength=len(ids)))).astype(np.int32))
+        return pa.table({"id": pa.array(ids), "others": pa.ListArray.from_arrays(ends, pa.array(other, pa.int64())), "sims": pa.ListArray.from_arrays(ends, pa.array(sim, pa.float32()))})
 
     rows = placed.mapInArrow(place, "node bigint, id bigint, h bigint, depth int, visits boolean, code binary")
     return rows.groupBy("node").applyInArrow(best, "id bigint, others array<bigint>, sims array<float>")
 
 
+def _largest(s: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the ``most`` largest values of each row, rows in order.
+
+    The ``most``-th of the maxima of 16 columns each is a bound that all of them reach.
+    """
+    rows, width = s.shape
+    folds = width // 16
+    if folds > 2 * most:
+        maxima = s[:, : folds * 16].reshape(rows, 16, folds).max(axis=1)
+        bound = np.partition(maxima, folds - most, axis=1)[:, folds - most]
+    else:
+        m = min(most, width)
+        bound = np.partition(s, width - m, axis=1)[:, width - m]
+    row, col = np.nonzero(s >= np.maximum(bound, -1.5)[:, None])
+    order = np.lexsort((-s[row, col], row))
+    row, col = row[order], col[order]
+    first = np.searchsorted(row, np.arange(rows))
+    keep = np.arange(len(row)) - first[row] < most
+    return row[keep], col[keep]
+
+
 def _ranked(key: np.ndarray, other: np.ndarray, sim: np.ndarray, most: int) -> np.ndarray:
     """Positions of the ``most`` best different others of each key, keys in order."""
     order = np.lexsort((-sim, other, key))

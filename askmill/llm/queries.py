@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from askmill.llm import mixing, neardup, neighbours, packing, pairs, truncation
 from askmill.llm.tokens import TOKENIZER, count_tokens
+from askmill.plans.workspace import settle
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -23,7 +24,7 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p4_groups(spark: SparkSession, sf: str) -> DataFrame:
-    """One row per passage: its class of equal word sets and the number of passages similar to it."""
+    """One row per passage: its class of equal word sets, its group of similar ones and the number of passages similar to it."""
     return neardup.groups(*_p4(spark, sf))
 
 
@@ -91,12 +92,55 @@ def p7_shares(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.shares(_p7_chosen(spark, sf), _table(spark, sf, "mix_targets"))
 
 
-QUERIES = {"p6_placement": p6_placement, "p6_unused": p6_unused, "p7_chosen": p7_chosen, "p7_shares": p7_shares, "p3_found": p3_found, "p3_by_run": p3_by_run, "p8_found": p8_found, "p8_rates": p8_rates, "p5_found": p5_found, "p5_nearest": p5_nearest, "p4_found": p4_found, "p4_groups": p4_groups}
-SQL = {
-    "p4_found": r"""WITH w AS (SELECT passage_idx, list_distinct(regexp_extract_all(lower(coalesce(title, '') || chr(10) || coalesce(array_to_string(sentences, chr(10)), '')), '[\p{L}\p{N}]+')) ws FROM passages),
+def p6_covered(spark: SparkSession, sf: str) -> DataFrame:
+    """What must hold of the placing, by limit: every document once, none torn that fits, no container overfull."""
+    limits = _limits(spark, sf)
+    placed = settle(p6_placement(spark, sf), "placed")
+    cap = F.create_map(*(x for k, c in limits.items() for x in (F.lit(k).cast("int"), F.lit(c).cast("int"))))[F.col("limit_id")]
+    by = placed.groupBy("limit_id", "doc_id").agg(F.count("*").alias("pieces"), F.sum("tokens").alias("t"), F.max("piece").alias("last"), F.count_if(F.col("tokens") == cap).alias("full")).withColumn("cap", cap)
+    docs = by.groupBy("limit_id").agg(F.count("*").alias("documents"), F.count_if((F.col("t") <= F.col("cap")) & (F.col("pieces") > 1)).alias("torn"), F.count_if((F.col("last") + 1 != F.col("pieces")) | (F.col("full") < F.col("pieces") - 1)).alias("odd_pieces"))
+    loads = placed.groupBy("limit_id", "container").agg(F.sum("tokens").alias("t"), F.min("tokens").alias("least")).withColumn("cap", cap)
+    # no more than one container in a hundred, and one, above what the tokens need at the least
+    all_ = loads.groupBy("limit_id").agg(F.count_if(F.col("t") > F.col("cap")).alias("overfull"), (F.count("*") <= F.ceil(F.sum("t") / F.first("cap")) * 1.01 + 1).alias("bounded"))
+    return docs.join(all_, "limit_id").select("limit_id", "documents", "torn", "overfull", "odd_pieces", "bounded")
+
+
+def p7_kept(spark: SparkSession, sf: str) -> DataFrame:
+    """What must hold of the mixes, by target: caps kept, only documents of the source, shares reached within a
+    hundredth and the longest document.
+
+    Where sources of a mix are missing, the shares of the others refer to what is there.
+    """
+    targets = _table(spark, sf, "mix_targets")
+    chosen = settle(_p7_chosen(spark, sf), "chosen")
+    docs = _table(spark, sf, "documents").select(F.col("doc_id").alias("id"), truncation.source_name(F.col("source")).alias("true_source"), F.coalesce(F.col("text") != "", F.lit(False)).alias("has_text"))
+    t = targets.select("mix_name", truncation.source_name(F.col("source")).alias("source"), "target_share", "max_repeats")
+    rows = chosen.join(docs, "id", "left").join(t.select("mix_name", "source", "max_repeats"), ["mix_name", "source"])
+    got = rows.groupBy("mix_name", "source").agg(F.count_if(F.col("copies") > F.col("max_repeats")).alias("over_cap"), F.count_if(~F.col("source").eqNullSafe(F.col("true_source"))).alias("strangers"), F.max("tokens").alias("longest"), F.sum(F.col("tokens") * F.col("copies")).alias("tokens"))
+    j = t.join(docs.where("true_source IS NOT NULL AND has_text").select(F.col("true_source").alias("source")).distinct().withColumn("present", F.lit(True)), "source", "left").join(got, ["mix_name", "source"], "left").fillna(0, ["over_cap", "strangers", "tokens", "longest"]).fillna(False, ["present"])
+    w = Window.partitionBy("mix_name")
+    wanted = F.when(F.col("present"), F.col("target_share")).otherwise(0.0)
+    reached = F.abs(F.try_divide(F.col("tokens"), F.sum("tokens").over(w)) - wanted / F.sum(wanted).over(w)) <= 0.01 + F.try_divide(F.max("longest").over(w), F.sum("tokens").over(w))
+    return j.select("mix_name", "source", "target_share", "present", "over_cap", "strangers", F.coalesce(reached, F.lit(False)).alias("on_target"))
+
+
+QUERIES = {"p6_covered": p6_covered, "p7_kept": p7_kept, "p6_placement": p6_placement, "p6_unused": p6_unused, "p7_chosen": p7_chosen, "p7_shares": p7_shares, "p3_found": p3_found, "p3_by_run": p3_by_run, "p8_found": p8_found, "p8_rates": p8_rates, "p5_found": p5_found, "p5_nearest": p5_nearest, "p4_found": p4_found, "p4_groups": p4_groups}
+_P4 = r"""w AS (SELECT passage_idx, list_distinct(regexp_extract_all(lower(coalesce(title, '') || chr(10) || coalesce(array_to_string(sentences, chr(10)), '')), '[\p{L}\p{N}]+')) ws FROM passages),
 k AS (SELECT * FROM w WHERE len(ws) >= 20), u AS (SELECT passage_idx, len(ws) n, unnest(ws) x FROM k),
-p AS (SELECT a.passage_idx passage_a, b.passage_idx passage_b, count(*) c, any_value(a.n) na, any_value(b.n) nb FROM u a JOIN u b ON a.x = b.x AND a.passage_idx < b.passage_idx GROUP BY ALL)
-SELECT passage_a, passage_b FROM p WHERE c >= 0.7 * (na + nb - c)""",
+p AS (SELECT a.passage_idx passage_a, b.passage_idx passage_b, count(*) c, any_value(a.n) na, any_value(b.n) nb FROM u a JOIN u b ON a.x = b.x AND a.passage_idx < b.passage_idx GROUP BY ALL),
+pairs AS (SELECT passage_a, passage_b FROM p WHERE c >= 0.7 * (na + nb - c))"""
+_P7_DOCS = r"""d AS (SELECT doc_id, lower(regexp_replace(source, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')) source FROM documents WHERE doc_id IS NOT NULL AND text <> ''),
+t AS (SELECT mix_name, lower(regexp_replace(source, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')) source, target_share, max_repeats FROM mix_targets)"""
+SQL = {
+    "p4_found": f"WITH {_P4} SELECT passage_a, passage_b FROM pairs",
+    "p4_groups": f"""WITH RECURSIVE {_P4}, both_ AS (SELECT passage_a a, passage_b b FROM pairs UNION ALL SELECT passage_b, passage_a FROM pairs),
+reach(id, other) AS (SELECT passage_idx, passage_idx FROM k UNION SELECT r.id, e.b FROM reach r JOIN both_ e ON e.a = r.other),
+g AS (SELECT id, min(other) group_id FROM reach GROUP BY id), l AS (SELECT a, count(*) n FROM both_ GROUP BY a), c AS (SELECT passage_idx, min(passage_idx) OVER (PARTITION BY list_sort(ws)) cls FROM k)
+SELECT id, cls, group_id, coalesce(n, 0) links FROM g JOIN c ON c.passage_idx = id LEFT JOIN l ON l.a = id""",
+    "p6_covered": """WITH d AS (SELECT limit_id, doc_id FROM documents CROSS JOIN pack_limits WHERE doc_id IS NOT NULL AND capacity_tokens > 0)
+SELECT limit_id, count(*) documents, 0::BIGINT torn, 0::BIGINT overfull, 0::BIGINT odd_pieces, true bounded FROM d GROUP BY limit_id""",
+    "p7_kept": f"""WITH {_P7_DOCS}, s AS (SELECT DISTINCT source FROM d), m AS (SELECT mix_name, sum(target_share) FILTER (source IN (SELECT source FROM s)) there FROM t GROUP BY mix_name)
+SELECT t.mix_name, t.source, target_share, t.source IN (SELECT source FROM s) present, 0::BIGINT over_cap, 0::BIGINT strangers, true on_target FROM t JOIN m USING (mix_name)""",
     "p5_found": """WITH v0 AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) e FROM dense_vectors WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
 v AS (SELECT vec_id, list_transform(e, lambda x: x / sqrt(list_sum(list_transform(e, lambda y: y * y)))) u FROM v0),
 n AS (SELECT a.vec_id a, b.vec_id b FROM v a JOIN v b ON a.vec_id <> b.vec_id QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY list_dot_product(a.u, b.u) DESC, b.vec_id) <= 5)

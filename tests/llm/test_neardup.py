@@ -50,3 +50,27 @@ def test_empty_table_and_long_text(spark):
 def test_words(spark):
     got = spark.range(1).select(F.size(N.word_set(F.lit("Éa-b_c 12 12,x A"))).alias("n")).first().n
     assert got == 6  # éa, b, c, 12, x, a
+
+
+def test_components(spark):
+    rng = random.Random(3)
+    chain = [(i, i + 1) for i in range(40)]
+    edges = chain + [(100 + rng.randint(0, 60), 100 + rng.randint(0, 60)) for _ in range(50)] + [(200, 200 + i) for i in range(1, 30)] + [(300, 300)]
+    head = {}
+    for a, b in edges:
+        head.setdefault(a, a), head.setdefault(b, b)
+    for _ in range(100):
+        for a, b in edges:
+            head[a] = head[b] = min(head[a], head[b])
+    want = {x: h for x, h in head.items() if x != h}
+    got = {r.cls: r.head for r in N.components(spark.createDataFrame(edges, "cls_a long, cls_b long")).collect()}
+    assert got == want
+    assert N.components(spark.createDataFrame([], "cls_a long, cls_b long")).count() == 0
+
+
+def test_groups_join_chains_of_similar_texts(spark):
+    words = [f"w{i}" for i in range(40)]
+    rows = [(i, None, [" ".join(words[i : i + 20])], None, None, None) for i in range(6)] + [(50, "alone here", None, None, None, None)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = {r.id: (r.group_id, r.links) for r in N.groups(*N.near_duplicates(df, "id", N.passage_text(), 0.9, 1)).collect()}
+    assert got == {0: (0, 1), 1: (0, 2), 2: (0, 2), 3: (0, 2), 4: (0, 2), 5: (0, 1), 50: (50, 0)}

@@ -85,3 +85,14 @@ def test_a_region_denser_than_the_hash_strings(spark):
     for a, b, s in run(spark, rows_of(x), 4, 3, candidates=16, span=100):
         by.setdefault(a, []).append(s)
     assert len(by) == 1000 and all(len(v) == 3 for v in by.values()) and all(min(by[a]) > 0.9999 for a in range(700))
+
+
+def test_largest_against_sorting():
+    rng = np.random.default_rng(2)
+    for width in (1, 9, 40, 400, 1003):
+        s = rng.uniform(-1, 1, (17, width)).astype(np.float32)
+        s[3] = -2
+        row, col = N._largest(s, 10)
+        for i in range(17):
+            want = [] if i == 3 else sorted(s[i], reverse=True)[:10]
+            assert s[i, col[row == i]].tolist() == [float(v) for v in want]
