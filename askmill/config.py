@@ -58,7 +58,9 @@ class Verification:
     claim_threshold: float = 0.45
     min_supported_claim_ratio: float = 1.0
     max_claims: int = 6
-    retry_on_unsupported: bool = True
+    retry_on_failure: bool = True
+    max_verification_retries: int = 1
+    retry_score_threshold: float = 0.4
     abstain_on_unsupported: bool = False
 
 
@@ -73,7 +75,7 @@ class Settings:
     def validate(self) -> "Settings":
         """Raises ValueError for a setting out of range."""
         r, v = self.retrieval, self.verifier
-        unit = {"alpha": r.alpha, "alpha_bridge": r.alpha_bridge, "alpha_comparison": r.alpha_comparison, "hop2_confidence": r.hop2_confidence, "support_threshold": v.support_threshold, "claim_threshold": v.claim_threshold, "min_supported_claim_ratio": v.min_supported_claim_ratio, "complexity_routing_threshold": self.prompt_builder.complexity_routing_threshold}
+        unit = {"alpha": r.alpha, "alpha_bridge": r.alpha_bridge, "alpha_comparison": r.alpha_comparison, "hop2_confidence": r.hop2_confidence, "support_threshold": v.support_threshold, "claim_threshold": v.claim_threshold, "min_supported_claim_ratio": v.min_supported_claim_ratio, "retry_score_threshold": v.retry_score_threshold, "complexity_routing_threshold": self.prompt_builder.complexity_routing_threshold}
         for name, x in unit.items():
             if x is not None and not 0 <= x <= 1:
                 raise ValueError(f"{name} must be between 0 and 1: {x}")

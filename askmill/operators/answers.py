@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 
 from askmill.functions import scores as S
 from askmill.functions import text as X
 
 FACT = "struct<title:string,sentence_index:int>"
 OBJECT = r"(?s)\{[^{}]*(?:\{[^{}]*\}[^{}]*)*\}"
+# Fixed value: the answer of a question whose call failed.
+CANNOT = "Cannot answer based on the provided evidence."
 PARSED = "answer string, supporting_fact_numbers string, supporting_facts string, supportiing_facts string"
 
 
@@ -102,9 +105,35 @@ def invalid_citations(facts: Column, available: Column) -> Column:
     return F.array_except(facts, available)
 
 
-def verify(df: DataFrame, answer: str, ids: str, texts: str, facts: str, claim_at: float = 0.45, support_at: float = 0.55, ratio_at: float = 1.0, most: int = 6) -> DataFrame:
+def claim_list(answer: Column, most: int = 6) -> Column:
+    """The claims of an answer; the whole answer where it has none."""
+    return X.let(X.claims(answer, most), lambda found: F.when(F.size(found) > 0, found).otherwise(F.array(answer)))
+
+
+def evidence_items(df: DataFrame, column: str) -> DataFrame:
+    """Replaces a column of evidence by ``ids`` and ``texts``, whichever of four forms it has: an array of (title, sentences),
+    of (title, idx, text) or of texts, or a map id -> text.  Ids are ``title::index``, texts alone are numbered."""
+    kind, c = df.schema[column].dataType, F.col(column)
+    item = lambda i, t: F.struct(i.cast("string").alias("i"), t.alias("t"))
+    at = lambda title, i: F.concat(F.coalesce(title, F.lit("")), F.lit("::"), i.cast("string"))
+    inner = kind.elementType if isinstance(kind, ArrayType) else None
+    if isinstance(inner, StructType) and "sentences" in inner.names:
+        items = F.flatten(F.transform(c, lambda p: F.transform(F.coalesce(p["sentences"], F.array().cast("array<string>")), lambda s, i: item(at(p["title"], i), s))))
+    elif isinstance(inner, StructType):
+        items = F.transform(c, lambda p: item(at(p["title"], p["idx"]), p["text"]))
+    elif inner is not None:
+        items = F.transform(c, lambda t, i: item(F.concat(F.lit("evidence::"), i.cast("string")), t))
+    else:
+        items = F.array_sort(F.transform(F.map_entries(c), lambda e: item(e["key"], e["value"])))
+    df = df.withColumn(column, items)
+    return df.withColumns({"ids": F.transform(column, lambda x: x["i"]), "texts": F.transform(column, lambda x: x["t"])}).drop(column)
+
+
+def verify(df: DataFrame, answer: str, ids: str, texts: str, facts: str, claim_at: float = 0.45, support_at: float = 0.55, ratio_at: float = 1.0, most: int = 6, scored: str | None = None) -> DataFrame:
     """Adds support_score, is_supported, unsupported, claims and coverage.
 
+    ``scored`` may hold the claims with their support by a model (array of (claim, s)) in place of the lexical one.
+
     ``ids`` (``title::index``) and ``texts`` are parallel arrays of evidence, ``facts`` the cited ids.  Each claim takes
     its best evidence; yes and no are judged by the amount of evidence.  No answer or no evidence gives 0.
     """
@@ -113,11 +142,9 @@ def verify(df: DataFrame, answer: str, ids: str, texts: str, facts: str, claim_a
     items = F.filter(F.arrays_zip(list_of(ids).alias("i"), list_of(texts).alias("t")), lambda e: X.strip(F.coalesce(e["t"], F.lit(""))) != "")
     df = df.withColumn("_a", a).withColumn("_e", items)
     df = df.withColumns({"_i": F.transform("_e", lambda e: e["i"]), "_t": F.transform("_e", lambda e: X.strip(e["t"]))})
-    found = X.claims(F.col("_a"), most)
-    claim_list = F.when(F.size(found) > 0, found).otherwise(F.array("_a"))
-    scored = F.transform(claim_list, lambda c: F.struct(c.alias("claim"), F.array_max(F.transform("_t", lambda t: S.lexical_support(c, t))).alias("s")))
+    own = F.transform(claim_list(F.col("_a"), most), lambda c: F.struct(c.alias("claim"), F.array_max(F.transform("_t", lambda t: S.lexical_support(c, t))).alias("s")))
     yesno = F.array(F.struct(F.col("_a").alias("claim"), S.yesno_support(F.size(F.coalesce(facts, F.array().cast("array<string>"))), F.col("_i"), F.col("_t")).alias("s")))
-    checks = F.when(F.lower("_a").isin("yes", "no", "noanswer"), yesno).otherwise(scored)
+    checks = F.when(F.lower("_a").isin("yes", "no", "noanswer"), yesno).otherwise(F.coalesce(F.col(scored), own) if scored else own)
     none = F.array().cast("array<struct<claim:string,s:double>>")
     df = df.withColumn("_c", F.when((F.col("_a") == "") | (F.size("_e") == 0), none).otherwise(checks))
     n = F.greatest(F.size("_c"), F.lit(1))

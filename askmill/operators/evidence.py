@@ -123,7 +123,7 @@ def complexity(reranked: DataFrame, selected: DataFrame, how: Routing = Routing(
 
 # Our own wording; {question} and {facts} are filled in.
 CITATION = "QUESTION: {question}\n\n{facts}\n\nTASK: Use only these facts. Reply with raw JSON and nothing else:\n{\"supporting_fact_numbers\": [numbers of the facts you used], \"answer\": \"a few words\"}"
-YESNO: str | None = None
+YESNO = "QUESTION: {question}\n\n{facts}\n\nTASK: Decide by these facts alone whether it is so. Reply with raw JSON and nothing else:\n{\"supporting_fact_numbers\": [numbers of the facts you used], \"answer\": \"yes\" or \"no\"}"
 STANDARD = "Question: {question}\n\nUse only the evidence. Reply with raw JSON and nothing else:\n{\"supporting_facts\": [[passage, sentence], ...], \"answer\": \"a few words\"}"
 
 
@@ -133,9 +133,23 @@ def prompts(reranked: DataFrame, selected: DataFrame, most: int = 6000, evidence
     j = q.join(evidence_block(reranked, selected), "query_id").join(fact_block(selected), "query_id", "left").join(complexity(reranked, selected, how), "query_id")
     fill = lambda t: F.replace(F.replace(F.lit(t), F.lit("{question}"), F.col("question")), F.lit("{facts}"), F.coalesce("facts", F.lit("AVAILABLE FACTS:")))
     asked = fill(CITATION) if citation else fill(STANDARD)
-    if citation and YESNO:
+    if citation:
         asked = F.when(X.is_yesno_question(F.col("question")), fill(YESNO)).otherwise(asked)
     parts = [F.col("evidence"), asked] if evidence_first else [asked, F.col("evidence")]
     whole = F.concat_ws("\n\n", *parts)
     cut = F.when(F.length(whole) > most, F.concat(F.substring(whole, 1, most), F.lit("\n[... truncated ...]"))).otherwise(whole)
     return j.select("query_id", cut.alias("prompt"), "complexity", "route", "mapping")
+
+
+def passage_facts(selected: DataFrame) -> DataFrame:
+    """(query_id, mapping): number of a passage -> its selected (title, idx) in order, without the limits of the prompt."""
+    per = selected.groupBy("query_id", "rank").agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "title"))), lambda x: F.struct(x["title"].alias("title"), x["idx"].alias("idx"))).alias("facts"))
+    return per.groupBy("query_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("rank", "facts")))).alias("mapping"))
+
+
+def prompt_facts(prompted: DataFrame, reranked: DataFrame, selected: DataFrame) -> DataFrame:
+    """(query_id, passages, sentences, letters, mean_score): what went into each prompt."""
+    r = reranked.groupBy("query_id").agg(F.count("*").alias("passages"), F.round(F.avg("score"), 6).alias("mean_score"))
+    n = selected.groupBy("query_id").agg(F.count("*").alias("sentences"))
+    j = prompted.select("query_id", F.length("prompt").alias("letters")).join(r, "query_id").join(n, "query_id", "left")
+    return j.select("query_id", "passages", F.coalesce("sentences", F.lit(0)).alias("sentences"), "letters", "mean_score")

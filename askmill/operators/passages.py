@@ -117,3 +117,37 @@ def corpus_stats(examples: DataFrame) -> DataFrame:
     flat = whole.select(F.expr("stack(3, 'examples', examples, 'avg_contexts', avg_contexts, 'avg_facts', avg_facts) as (name, value)"))
     unique = examples.select(F.explode("contexts").alias("c")).where(F.col("c").isNotNull()).select(F.coalesce("c.title", F.lit("")).alias("t"), joined_text(F.col("c.sentences")).alias("x")).distinct().agg(F.count("*").cast("double").alias("value")).select(F.lit("unique_passages").alias("name"), "value")
     return flat.unionByName(unique).unionByName(named("type:", "t")).unionByName(named("level:", "l"))
+
+
+def load(df: DataFrame, order: str, limit: int | None = None) -> DataFrame:
+    """The first ``limit`` rows in stored order; all of them without a limit."""
+    return df if limit is None else df.orderBy(order).limit(limit)
+
+
+class Collection:
+    """A numbered collection: its size, single rows by number, and iteration without collecting it."""
+
+    def __init__(self, df: DataFrame, order: str) -> None:
+        self.rows = with_position(df, order)
+
+    def __len__(self) -> int:
+        return self.rows.count()
+
+    def __getitem__(self, number: int):
+        n = number if number >= 0 else len(self) + number
+        row = self.rows.where(F.col("position") == n).first()
+        if row is None:
+            raise IndexError(number)
+        return row
+
+    def __iter__(self):
+        return self.rows.orderBy("position").toLocalIterator()
+
+    def __repr__(self) -> str:
+        return f"Collection({len(self)} rows)"
+
+
+def full_contexts(examples: DataFrame) -> DataFrame:
+    """(row_id, text): title and text of all contexts of a record, one to a line; NULL contexts are left out."""
+    known = F.filter(_list(F.col("contexts"), CONTEXT), lambda c: c.isNotNull())
+    return examples.select("row_id", F.array_join(F.transform(known, lambda c: title_text(c["title"], c["sentences"])), "\n").alias("text"))

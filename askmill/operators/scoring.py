@@ -170,7 +170,33 @@ def fuzzy_metrics(m: DataFrame, threshold: float = 75.0) -> DataFrame:
 
 
 def model_similarity(m: DataFrame, scorer) -> DataFrame:
-    """Mean of a model's similarity of answer and gold by run, and the shares of all rows at or above three marks."""
-    ok = F.col("answer").isin(FAILED)
-    s = m.withColumn("s", F.when(~ok, scorer(F.col("answer"), F.coalesce(F.nullif("gold_answer", F.lit("")), "gold", F.lit("")))))
-    return s.groupBy("run_name").agg(F.round(F.avg("s"), 6).alias("mean"), *(F.round(F.avg(F.coalesce((F.col("s") >= x).cast("double"), F.lit(0.0))), 6).alias(f"ge{int(x * 100)}") for x in (0.9, 0.85, 0.8)))
+    """Means of a model's precision, recall and F (``scorer(answer, gold)``: STRUCT(p, r, f), or one number for F) by run, and
+    the shares of all rows with an F at or above three marks; failed answers count as rows without F."""
+    bad = F.col("answer").isin(FAILED)
+    s = settle(m.withColumn("s", scorer(F.col("answer"), F.coalesce(F.nullif("gold_answer", F.lit("")), "gold", F.lit("")))).withColumn("bad", bad), "similar")
+    parts = {"p": "s.p", "r": "s.r", "f": "s.f"} if dict(s.dtypes)["s"].startswith("struct") else {"f": "s"}
+    s = s.withColumns({k: F.when(~F.col("bad"), F.col(c)) for k, c in parts.items()})
+    means = (F.round(F.avg(k), 6).alias({"p": "precision", "r": "recall", "f": "mean"}[k]) for k in parts)
+    return s.groupBy("run_name").agg(*means, *(F.round(F.avg(F.coalesce((F.col("f") >= x).cast("double"), F.lit(0.0))), 6).alias(f"ge{int(x * 100)}") for x in (0.9, 0.85, 0.8)))
+
+
+def evaluate(predictions: DataFrame, examples: DataFrame, save_to: str | None = None) -> DataFrame:
+    """The official metrics by run; raises ValueError where no prediction meets a gold question."""
+    found = official_metrics(matched(predictions, examples))
+    if found.isEmpty():
+        raise ValueError("no prediction has a gold question")
+    if save_to:
+        from askmill.sources.store import save_metrics
+
+        save_metrics(found, save_to)
+    return found
+
+
+def recall_of(stage: str, gold: DataFrame, got: DataFrame, key: str = "query_id", item: str = "item") -> DataFrame:
+    """(stage, questions, mean_recall, perfect, zero): how much of each question's gold items a stage still has.
+
+    ``gold`` has every question, with a NULL item where it has none: its recall is 0.
+    """
+    hits = gold.select(key, item).distinct().join(got.select(key, item).distinct().withColumn("hit", F.lit(1)), [key, item], "left")
+    per = hits.groupBy(key).agg(F.avg(F.coalesce("hit", F.lit(0))).alias("recall"))
+    return per.agg(F.count("*").alias("questions"), F.round(F.avg("recall"), 6).alias("mean_recall"), F.count_if(F.col("recall") >= 1).alias("perfect"), F.count_if(F.col("recall") <= 0).alias("zero")).select(F.lit(stage).alias("stage"), "questions", "mean_recall", "perfect", "zero")

@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from askmill.config import Retrieval
 from askmill.functions import scores as S
 from askmill.functions import text as X
+from askmill.operators import generation as G
 from askmill.operators import passages as P
 from askmill.operators import retrieval as R
 from askmill.operators.scoring import last_by
 from askmill.plans import sqltext as Q
 from askmill.plans.workspace import settle
+from askmill.sources.connectors import Factory
 
 POOL, TOP, DIM = 100, 20, 64
 ALPHAS = {"alpha": 0.5, "bridge": 0.4, "comparison": 0.6}
@@ -51,17 +54,11 @@ def _vectors(spark: SparkSession, sf: str) -> DataFrame:
     return R.usable_vectors(v.withColumn("pv", F.struct("passage_idx", "vec_id")), "pv", "embedding", DIM).select(F.col("id.passage_idx").alias("id"), F.col("id.vec_id").alias("vec_id"), "v")
 
 
-def _dense(spark: SparkSession, sf: str, k: int, firsts: DataFrame | None = None) -> DataFrame:
-    """The query vector of a question is the usable vector whose vec_id is its number (a stand-in pairing).
-
-    With ``firsts`` (passage_idx, first) each distinct passage is ranked once, by the first usable vector of its copies.
-    """
+def _dense(spark: SparkSession, sf: str, k: int) -> DataFrame:
+    """The query vector of a question is the usable vector whose vec_id is its number (a stand-in pairing)."""
     v = _vectors(spark, sf)
     q = questions(spark, sf).select("query_id").join(v.select(F.col("vec_id").alias("query_id"), "v"), "query_id")
-    if firsts is None:
-        return R.best_by_vectors(v.select("id", "v"), q, k, DIM)
-    once = v.join(firsts.withColumnRenamed("passage_idx", "id"), "id").groupBy("first").agg(F.min_by("v", F.struct("id", "vec_id")).alias("v"))
-    return R.best_by_vectors(settle(once.withColumnRenamed("first", "id"), "vectors"), q, k, DIM)
+    return R.best_by_vectors(v.select("id", "v"), q, k, DIM)
 
 
 def dense_topk(spark: SparkSession, sf: str) -> DataFrame:
@@ -122,6 +119,15 @@ def stage_recall(spark: SparkSession, sf: str) -> DataFrame:
     return per.groupBy("run_name").agg(F.count("*").alias("questions"), F.round(F.avg("recall"), 6).alias("mean_recall"), F.count_if(F.col("recall") == 1).alias("perfect"), F.count_if(F.col("recall") == 0).alias("zero"))
 
 
+def full_contexts(spark: SparkSession, sf: str) -> DataFrame:
+    return P.full_contexts(_t(spark, sf, "examples"))
+
+
+def first_examples(spark: SparkSession, sf: str) -> DataFrame:
+    """The first hundred records in stored order."""
+    return P.load(_t(spark, sf, "examples").select("row_id", "id"), "row_id", 100)
+
+
 def l2_normalize(spark: SparkSession, sf: str) -> DataFrame:
     v = _vectors(spark, sf)
     return v.select("vec_id", F.round(F.get("v", F.lit(0)), 6).alias("first"), F.round(S.dot(F.col("v"), F.col("v")), 6).alias("norm"))
@@ -132,11 +138,13 @@ def bridge_entities(spark: SparkSession, sf: str) -> DataFrame:
     return e.select("row_id", "pos", F.posexplode(X.bridge_entities(F.col("c.title"), F.col("c.sentences"), F.col("q"))).alias("place", "entity"))
 
 
-def _entities(spark: SparkSession, sf: str, hop1: DataFrame) -> DataFrame:
-    """(query_id, pos, entity) of the five best passages of each question."""
+def _entities(spark: SparkSession, sf: str, hop1: DataFrame, q: DataFrame, most: int, make: Factory | None = None, model: str = "large") -> DataFrame:
+    """(query_id, pos, entity) of the five best passages of each question: by a model, or by patterns where there is none."""
     p = _t(spark, sf, "passages").select(F.col("passage_idx").alias("id"), "title", "sentences")
-    best = hop1.where("rank < 5").join(p, "id").join(questions(spark, sf), "query_id")
-    named = best.select("query_id", "rank", F.posexplode(X.bridge_entities(F.col("title"), F.col("sentences"), F.col("question"))).alias("at", "entity"))
+    best = hop1.where("rank < 5").join(p, "id").join(q, "query_id")
+    if make is not None:
+        return G.extract_entities(best.select("query_id", "question", "rank", "title", "sentences"), make, model, most)
+    named = best.select("query_id", "rank", F.posexplode(X.bridge_entities(F.col("title"), F.col("sentences"), F.col("question"), most)).alias("at", "entity"))
     return named.groupBy("query_id", "entity").agg(F.min(F.col("rank") * 10 + F.col("at")).cast("int").alias("pos"))
 
 
@@ -151,20 +159,51 @@ def fuzzy_title_topk(spark: SparkSession, sf: str) -> DataFrame:
     return R.similar_titles(e, _titles(spark, sf)).select("query_id", "entity", "title", F.round("score", 4).alias("score"))
 
 
-def multihop(spark: SparkSession, sf: str) -> DataFrame:
-    """Both hops over the distinct passages: of each title and text the first stored one stands for its copies."""
-    firsts = settle(P.first_of(_t(spark, sf, "passages")), "firsts")
+def index_tables(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(passages, weights, vectors) of the distinct passages: of each title and text the first stored one stands for its copies."""
+    firsts = settle(P.first_of(R.indexed(_t(spark, sf, "passages"))), "firsts")
     p = settle(_t(spark, sf, "passages").join(firsts.where("passage_idx = first").select("passage_idx"), "passage_idx", "left_semi"), "distinct")
-    weights = settle(R.weighted(p, "passage_idx", _text()), "weights")
-    dense = settle(_dense(spark, sf, POOL, firsts), "dense")
-    fused = lambda q: R.fuse(_keywords(spark, sf, POOL, q, weights, p), dense, POOL, F.lit(ALPHAS["alpha"]), TOP)
-    hop1 = settle(fused(questions(spark, sf)), "hop1")
-    entities = settle(_entities(spark, sf, hop1), "entities")
-    more = entities.groupBy("query_id").agg(F.array_join(F.slice(F.transform(F.array_sort(F.collect_list(F.struct("pos", "entity"))), lambda x: x["entity"]), 1, 3), " ").alias("more"))
-    again_q = questions(spark, sf).join(more, "query_id").select("query_id", F.concat("question", F.lit(" "), "more").alias("question"), "type")
-    again = settle(fused(again_q), "again")
+    v = _vectors(spark, sf).join(firsts.withColumnRenamed("passage_idx", "id"), "id").groupBy("first").agg(F.min_by("v", F.struct("id", "vec_id")).alias("v"))
+    return p, settle(R.weighted(p, "passage_idx", _text()), "weights"), settle(v.withColumnRenamed("first", "id"), "vectors")
+
+
+def retrieve(spark: SparkSession, sf: str, q: DataFrame, tables: tuple[DataFrame, DataFrame, DataFrame], how: Retrieval = Retrieval(), make: Factory | None = None, model: str = "large") -> DataFrame:
+    """(query_id, id, score, rank, hop, confidence) of both hops for questions (query_id, question, type).
+
+    The second hop, its entities and its ranking are made for the questions alone whose first hop isn't confident.
+    """
+    p, weights, vectors = tables
+    own = q.select("query_id").join(_vectors(spark, sf).select(F.col("vec_id").alias("query_id"), "v"), "query_id")
+    dense = settle(R.best_by_vectors(vectors, own, how.candidate_pool_size, DIM), "dense")
+    types = q.select("query_id", "type")
+
+    def fused(asked: DataFrame) -> DataFrame:
+        k = R.best_by_keywords(weights, p, "passage_idx", asked, "query_id", F.col("question"), how.candidate_pool_size)
+        alpha = R.alpha_for(F.coalesce("type", F.lit("")), how.alpha, how.alpha_bridge, how.alpha_comparison)
+        near = dense.join(asked.select("query_id"), "query_id", "left_semi")
+        return R.fuse(k, near, how.candidate_pool_size, alpha, how.top_k, how.rrf_k, types)
+
+    hop1 = settle(fused(q), "hop1")
+    unsure = q.join(hop1.where((F.col("rank") == 0) & (F.col("confidence") <= how.hop2_confidence)).select("query_id"), "query_id", "left_semi")
+    unsure = settle(unsure, "unsure")
+    entities = settle(_entities(spark, sf, hop1.join(unsure.select("query_id"), "query_id", "left_semi"), unsure, how.max_bridge_entities, make, model), "entities")
+    more = entities.groupBy("query_id").agg(F.array_join(F.slice(F.transform(F.array_sort(F.collect_list(F.struct("pos", "entity"))), lambda x: x["entity"]), 1, how.max_bridge_entities), " ").alias("more"))
+    again = settle(fused(unsure.join(more, "query_id").select("query_id", F.concat("question", F.lit(" "), "more").alias("question"), "type")), "again")
     members = p.select(X.strip("title").alias("title"), F.col("passage_idx").alias("id"))
-    return R.second_hop(hop1, entities, _titles(spark, sf), members, again, TOP).select("query_id", F.col("id").alias("passage_idx"), F.round("score", 6).alias("score"), "rank", "hop")
+    return R.second_hop(hop1, entities, P.title_index(p).select("title"), members, again, how.top_k, how.hop2_confidence, how.fuzzy_title_threshold)
+
+
+def multihop(spark: SparkSession, sf: str) -> DataFrame:
+    """Both hops over the distinct passages."""
+    found = retrieve(spark, sf, questions(spark, sf), index_tables(spark, sf))
+    return found.select("query_id", F.col("id").alias("passage_idx"), F.round("score", 6).alias("score"), "rank", "hop")
+
+
+def dense_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """The cosine of every vector with the first three usable ones."""
+    v = _vectors(spark, sf)
+    q = v.orderBy("vec_id").limit(3).select(F.col("vec_id").alias("query_id"), "v")
+    return R.vector_scores(v.select(F.col("vec_id").alias("id"), "v"), q).withColumnRenamed("id", "vec_id")
 
 
 def parsed_raw(spark: SparkSession, sf: str) -> DataFrame:
@@ -204,6 +243,9 @@ QUERIES = {
     "merged_hops": merged_hops,
     "stage_recall": stage_recall,
     "l2_normalize": l2_normalize,
+    "dense_scores": dense_scores,
+    "full_contexts": full_contexts,
+    "first_examples": first_examples,
     "bridge_entities": bridge_entities,
     "fuzzy_title_topk": fuzzy_title_topk,
     "multihop": multihop,
@@ -227,7 +269,16 @@ n AS (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, p
 _CONF = "CASE WHEN {1} IS NOT NULL AND {0} > 0 THEN least(1.0, greatest(0.0, ({0} - {1}) / {0})) ELSE 0.0 END"
 _S = "coalesce(supporting_facts, [])"
 
+_RJ = "r AS (SELECT row_id, source_file, payload, CASE WHEN json_valid(payload) THEN payload::JSON END j FROM raw_examples)"
+_FIRST = lambda *ks: "coalesce(" + ", ".join(f"CASE WHEN json_type(j, '$.{k}') <> 'NULL' THEN nullif(json_extract_string(j, '$.{k}'), '') END" for k in ks) + ", '')"
+_TITLED = lambda e: f"(json_type({e}) = 'ARRAY' AND json_array_length({e}) = 2) OR (json_type({e}) = 'OBJECT' AND json_extract_string({e}, '$.title') IS NOT NULL)"
+_COUNT = lambda key: f"CASE WHEN json_type(j, '$.{key}') = 'ARRAY' THEN len(list_filter(json_extract(j, '$.{key}[*]'), lambda e: {_TITLED('e')})) ELSE 0 END::INT"
+
 SQL = {
+    "first_examples": "SELECT row_id, id FROM examples ORDER BY row_id LIMIT 100",
+    "full_contexts": f"SELECT row_id, coalesce(array_to_string(list_transform(list_filter(contexts, lambda c: c IS NOT NULL), lambda c: {Q.title_text('c.title', 'c.sentences')}), chr(10)), '') \"text\" FROM examples",
+    "parsed_raw": f"""WITH {_RJ} SELECT row_id, {_FIRST('_id', 'id')} id, {Q.strip(_FIRST('question'))} question, {Q.strip(_FIRST('answer'))} answer, {_COUNT('context')} contexts, {_COUNT('supporting_facts')} facts, {_FIRST('type', 'question_type')} question_type, {_FIRST('level')} question_level FROM r""",
+    "all_examples": f"""WITH {_RJ}, a AS (SELECT id, source_file FROM examples UNION ALL SELECT {_FIRST('_id', 'id')}, source_file FROM r) SELECT source_file, count(*) examples, count(DISTINCT id) ids FROM a GROUP BY source_file""",
     "passage_build": f"SELECT passage_idx, {Q.joined_text('sentences')} text, {Q.title_text('title', 'sentences')} title_text FROM passages",
     "passage_index": f"WITH r AS (SELECT passage_idx, coalesce({Q.strip('title')}, '') t, {Q.joined_text('sentences')} x FROM passages), f AS (SELECT t, min(passage_idx) passage_idx, count(*) copies FROM r GROUP BY t, x), n AS (SELECT *, row_number() OVER (ORDER BY passage_idx) - 1 AS \"position\" FROM f) SELECT passage_idx, t || '::' || \"position\" passage_id, copies, \"position\" FROM n",
     "title_index": f"SELECT {Q.strip('title')} title, count(*) passages, min(passage_idx) first_idx FROM passages WHERE {Q.strip('title')} <> '' GROUP BY 1",
@@ -260,5 +311,6 @@ SELECT run_name, query_id, passage_idx, hop, (row_number() OVER (PARTITION BY ru
 r AS (SELECT DISTINCT run_name, query_id, passage_idx FROM retrieval_results), h AS (SELECT DISTINCT run_name, query_id, {Q.strip('title')} title FROM r JOIN passages USING (passage_idx) WHERE {Q.strip('title')} <> ''),
 p AS (SELECT a.run_name, a.query_id, avg((h.title IS NOT NULL)::INT) recall FROM (SELECT DISTINCT run_name, query_id FROM r) a JOIN g USING (query_id) LEFT JOIN h ON h.run_name = a.run_name AND h.query_id = a.query_id AND h.title = g.title GROUP BY ALL)
 SELECT run_name, count(*) questions, round(avg(recall), 6) mean_recall, count(*) FILTER (recall = 1) perfect, count(*) FILTER (recall = 0) zero FROM p GROUP BY run_name""",
+    "dense_scores": f"WITH {_VECTORS}, q AS (SELECT vec_id query_id, u w FROM v ORDER BY vec_id LIMIT 3) SELECT query_id, vec_id, round(list_dot_product(u, w), 6) score FROM q CROSS JOIN v",
     "l2_normalize": f'WITH {_VECTORS} SELECT vec_id, round(u[1], 6) "first", round(list_dot_product(u, u), 6) norm FROM v',
 }

@@ -53,14 +53,26 @@ def export_predictions(predictions: DataFrame, path: str, key: str = "question_i
         f.write("\n}\n")
 
 
-def save_index(path: str, corpus: str, passages: DataFrame, weights: DataFrame, vectors: DataFrame) -> None:
-    """Index tables of one corpus: passages, term weights and vectors, as Parquet under its name."""
+def save_index(path: str, corpus: str, passages: DataFrame, weights: DataFrame, vectors: DataFrame, dim: int, model_name: str = "") -> None:
+    """Index tables of one corpus, as Parquet under its name: passages, term weights, vectors, and last what they were made with."""
     for name, df in (("passages", passages), ("weights", weights), ("vectors", vectors)):
         df.write.mode("overwrite").parquet(f"{path}/{corpus}/{name}")
-
-
-def load_index(spark: SparkSession, path: str, corpus: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    return tuple(spark.read.parquet(f"{path}/{corpus}/{n}") for n in ("passages", "weights", "vectors"))
+    about = passages.agg(F.count("*").alias("num_passages")).withColumns({"dim": F.lit(dim), "model_name": F.lit(model_name)})
+    about.write.mode("overwrite").json(f"{path}/{corpus}/about")
+
+
+def load_index(spark: SparkSession, path: str, corpus: str) -> tuple[DataFrame, DataFrame, DataFrame] | None:
+    """The saved tables; None where no whole index is saved.  An index with other numbers of passages raises ValueError."""
+    try:
+        about = spark.read.json(f"{path}/{corpus}/about").first()  # one row
+    except Exception as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return None
+    passages, weights, vectors = (spark.read.parquet(f"{path}/{corpus}/{n}") for n in ("passages", "weights", "vectors"))
+    if passages.count() != about["num_passages"]:
+        raise ValueError(f"the saved index of {corpus} is not whole")
+    return passages, weights, vectors
 
 
 def save_metrics(metrics: DataFrame, path: str) -> None:

@@ -9,7 +9,7 @@ from askmill.operators import evidence as E
 from askmill.operators import generation as G
 from askmill.operators import scoring
 from askmill.sources import store
-from askmill.sources.connectors import FakeClient, embedder, model_scorer, probe
+from askmill.sources.connectors import FakeClient, HttpClient, best_span, embedder, model_scorer, probe
 
 
 @pytest.fixture(scope="module")
@@ -49,8 +49,135 @@ def test_generate_repair_and_specialist(chosen):
     assert g.answer == "Mill 0" and [tuple(f) for f in g.facts] == [("Mill 0", 0)]
     s = G.generate_specialist(p, FakeClient).first()
     assert s.answer == "Mill 0" and s.response.startswith("[SP: {")
-    t = G.with_retry(G.generate(p, FakeClient), lambda rows: G.generate(rows, FakeClient), F.col("answer") == "Mill 0")
-    assert [x.attempts for x in t.collect()] == [2]
+
+
+def clients():
+    """Made inside a function, so that they travel by value."""
+
+    class Stubborn(FakeClient):
+        """Answers without facts at first; says what it was asked."""
+
+        def complete(self, prompts, model, temperature):
+            return [f'{{"supporting_fact_numbers": [0], "answer": "by {model}"}}' if p.startswith("Give the answer") else '{"answer": "Mill"}' for p in prompts]
+
+    class Failing(FakeClient):
+        def complete(self, prompts, model, temperature):
+            if any("Mill 0" in p for p in prompts):
+                raise OSError("no server")
+            return super().complete(prompts, model, temperature)
+
+        entail = spans = None
+
+    return Stubborn, Failing
+
+
+Stubborn, Failing = clients()
+
+
+def test_repair_asks_the_routed_model(chosen):
+    p = E.prompts(*chosen)
+    assert G.generate(p, Stubborn, "s", "l").first().answer == "by l"
+    r = G.generate(p.withColumn("route", F.lit("simple")), Stubborn, "s", "l").first()
+    assert r.answer == "by s" and [tuple(f) for f in r.facts] == [("Mill 0", 0)]
+    assert G.generate(p, Stubborn, repair=False).first().answer == "Mill"
+    assert [tuple(f) for f in G.generate_specialist(p, Stubborn).first().facts] == [("Mill 0", 0)]
+
+
+def test_a_failed_call_fails_one_prompt(spark, chosen):
+    p = E.prompts(*chosen)
+    other = p.withColumn("query_id", F.lit("other")).withColumn("prompt", F.lit("Fact 0: [Town, 0] x"))
+    got = {r.query_id: r for r in G.generate(p.unionByName(other), Failing).collect()}
+    assert got["q"].answer == A.CANNOT and got["q"].facts == [] and got["q"].response is None
+    assert got["other"].answer == "Town"
+    assert G.generate_specialist(p, Failing).first().answer == A.CANNOT
+
+
+def test_feedback_and_plain_generation(chosen):
+    p = E.prompts(*chosen)
+    assert G.with_feedback(p.withColumn("a", F.lit("Oslo")), "a").first().prompt.startswith(G.FEEDBACK + ' Answer given before: "Oslo".\n\nEvidence:')
+    assert G.with_feedback(p).first().prompt.startswith(G.FEEDBACK + "\n\nEvidence:")
+    assert G.generate_with_prompt(p, FakeClient, "m").first().answer == "Mill 0"
+
+
+def test_model_checks(spark):
+    df = spark.createDataFrame([(1, "Rome wins. Zeta loses.", ["T::0", "T::1"], ["Rome wins today", " "], ["T::0"]), (2, "yes", ["T::0"], ["x"], []), (3, "", [], [], []), (4, "Rome", None, None, None)], "i int, answer string, ids array<string>, texts array<string>, cited array<string>")
+    plain = {r.i: r for r in A.verify(df, "answer", "ids", "texts", "cited").collect()}
+    for mode in ("nli", "qa"):
+        got = {r.i: r for r in G.verified(df, "i", FakeClient, mode, "answer", "ids", "texts", "cited").collect()}
+        assert len(got) == 4 and got[2].support_score == plain[2].support_score and got[3].support_score == got[4].support_score == 0
+        assert got[1].claims == 2 and got[1].unsupported == ["Zeta loses."]
+        # a client without such a model leaves the overlap
+        got = {r.i: r for r in G.verified(df, "i", Failing, mode, "answer", "ids", "texts", "cited").collect()}
+        assert got[1].support_score == plain[1].support_score
+
+
+def test_entailment_takes_off_contradictions(spark):
+    class Judge(FakeClient):
+        def entail(self, pairs):
+            return [(0.8, 0.4), (0.1, 0.9)]
+
+        def spans(self, pairs):
+            return [(0.1, "x"), (0.9, "")]
+
+    df = spark.createDataFrame([("a", "b", 0.5), ("c", "d", 0.2)], "claim string, text string, overlap double").coalesce(1)
+    assert [r.support for r in G.model_support(df, Judge).collect()] == pytest.approx([0.35 * 0.5 + 0.65 * 0.6, 0.35 * 0.2])
+    assert [r.support for r in G.model_support(df, Judge, "qa").collect()] == pytest.approx([0.45 * 0.5 + 0.55 * 0.05, 0.45 * 0.2])
+
+
+def test_best_span():
+    import numpy as np
+
+    assert best_span(np.array([0.0, 50.0, 0.0]), np.array([50.0, 0.0, 0.0])) == (pytest.approx(0, abs=1e-6), 1, 1)
+    score, first, last = best_span(np.eye(40)[3] * 60, np.eye(40)[39] * 60)
+    assert (first, last) == (3, 19) and best_span(np.eye(4)[1] * 60, np.eye(4)[2] * 60) == (pytest.approx(1.0), 1, 2)
+
+
+def test_evidence_forms(spark):
+    want = (["T::0", "T::1"], ["x", "y"])
+    forms = {"array<struct<title:string,sentences:array<string>>>": [("T", ["x", "y"])], "array<struct<title:string,idx:int,text:string>>": [("T", 0, "x"), ("T", 1, "y")], "map<string,string>": {"T::0": "x", "T::1": "y"}}
+    for kind, v in forms.items():
+        r = A.evidence_items(spark.createDataFrame([(v,)], f"e {kind}"), "e").first()
+        assert (r.ids, r.texts) == want
+    r = A.evidence_items(spark.createDataFrame([(["x", "y"],)], "e array<string>"), "e").first()
+    assert (r.ids, r.texts) == (["evidence::0", "evidence::1"], ["x", "y"])
+
+
+def test_yesno_prompt_and_metadata(chosen):
+    r, s = chosen
+    p = E.prompts(r.withColumn("question", F.lit("Is the mill old?")), s).first()
+    assert '"yes" or "no"' in p.prompt
+    m = E.prompt_facts(E.prompts(r, s), r, s).first()
+    assert (m.passages, m.sentences) == (5, 6) and m.letters > 100
+    assert {k: [tuple(f) for f in v] for k, v in E.passage_facts(s).first().mapping.items()}[1] == [("Mill 1", 0), ("Mill 1", 3)]
+
+
+def test_the_http_client_against_a_server():
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_POST(self):
+            body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            known = {"/api/generate": {"response": f"<think>hm</think> {body.get('prompt')}!"}, "/api/embed": {"embeddings": [[3.0, 4.0]] * len(body.get("input", []))}}
+            if body.get("model") == "chatty":
+                known["/api/chat"] = {"message": {"content": body["messages"][0]["content"] + "?"}}
+            self.send_response(200 if self.path in known else 404)
+            self.end_headers()
+            self.wfile.write(json.dumps(known.get(self.path, {})).encode())
+
+        def log_message(self, *_):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        c = HttpClient(f"http://127.0.0.1:{server.server_port}/", "e", timeout=5)
+        assert c.complete(["a"], "chatty", 0.1) == ["a?"] and c.complete(["a", "b"], "plain", 0.1) == ["a!", "b!"]
+        assert c.embed(["x", "y"]) == [pytest.approx([0.6, 0.8])] * 2
+    finally:
+        server.shutdown()
+    with pytest.raises(OSError):
+        HttpClient("http://127.0.0.1:9").complete(["a"], "m", 0)
 
 
 def test_entities(spark):
@@ -68,7 +195,7 @@ def test_models(spark):
     df = spark.createDataFrame([("a b", "a c", 0.5), (None, "x", 0.2)], "claim string, text string, overlap double")
     assert df.select(model_scorer(FakeClient)(F.col("claim"), F.col("text")).alias("s")).first().s == 0.5
     assert G.model_support(df, FakeClient).first().support == pytest.approx(0.35 * 0.5 + 0.65 * 0.5)
-    assert G.model_support(df, FakeClient, "qa").first().support == pytest.approx(0.45 * 0.5 + 0.55 * (0.7 * 0.5 + 0.3 * 0.5))
+    assert G.model_support(df, FakeClient, "qa").first().support == pytest.approx(0.45 * 0.5 + 0.55 * (0.7 * 0.5 + 0.3 * 0))  # the span is the stopword a
     assert len(df.select(embedder(FakeClient)(F.col("text")).alias("v")).first().v) == probe(FakeClient) == 16
 
 
