@@ -9,7 +9,7 @@ from askmill.functions import scores as S
 from askmill.functions import text as X
 from askmill.operators import answers as A
 from askmill.operators import evidence as E
-from askmill.operators.scoring import last_by
+from askmill.operators.scoring import last_by, recall_of
 from askmill.plans import sqltext as Q
 from askmill.plans.workspace import settle
 
@@ -70,6 +70,34 @@ def built_prompts(spark: SparkSession, sf: str) -> DataFrame:
     return E.prompts(*_both(spark, sf)).select("query_id", "prompt", "complexity", "route")
 
 
+def prompt_metadata(spark: SparkSession, sf: str) -> DataFrame:
+    r, s = _both(spark, sf)
+    return E.prompt_facts(E.prompts(r, s), r, s)
+
+
+def passage_facts(spark: SparkSession, sf: str) -> DataFrame:
+    """Selected sentences of each passage number, all of them."""
+    m = E.passage_facts(_both(spark, sf)[1]).select("query_id", F.explode("mapping").alias("number", "facts"))
+    return m.select("query_id", "number", F.array_join(F.transform("facts", lambda f: F.concat(F.coalesce(f["title"], F.lit("")), F.lit("::"), f["idx"].cast("string"))), "|").alias("facts"))
+
+
+def stage_recalls(spark: SparkSession, sf: str) -> DataFrame:
+    """How much of the cited titles and facts of each question is left after retrieval, reranking, sentence choice and answering."""
+    r, s = _both(spark, sf)
+    asked = r.select("query_id").distinct()
+    e = last_by(_t(spark, sf, "examples").select("row_id", "id", "supporting_facts"), ["id"], "row_id").select(F.col("id").alias("query_id"), F.explode("supporting_facts").alias("f"))
+    item = lambda f: F.concat(f["title"], F.lit("::"), f["sentence_index"].cast("string")).alias("item")
+    titles = asked.join(e.select("query_id", F.col("f.title").alias("item")).where("item IS NOT NULL"), "query_id", "left")
+    facts = asked.join(e.select("query_id", item(F.col("f"))).where("item IS NOT NULL"), "query_id", "left")
+    got = candidates(spark, sf).select("query_id", F.col("title").alias("item"))
+    chosen = s.select("query_id", "rank", "title", "text").join(r.select("query_id", "rank", "sentences"), ["query_id", "rank"])
+    chosen = chosen.select("query_id", F.concat("title", F.lit("::"), X.match_sentence(F.col("sentences"), F.col("text")).cast("string")).alias("item"))
+    said = _t(spark, sf, "predictions").select(F.col("question_id").alias("query_id"), F.explode("sp").alias("f")).select("query_id", item(F.col("f")))
+    parts = [("retrieval", titles, got), ("rerank", titles, r.select("query_id", F.col("title").alias("item"))), ("sentence", facts, chosen), ("prediction", facts, said)]
+    found = [recall_of(stage, gold, had) for stage, gold, had in parts]
+    return found[0].unionByName(found[1]).unionByName(found[2]).unionByName(found[3])
+
+
 def parse_output(spark: SparkSession, sf: str) -> DataFrame:
     """Parses every stored response; fact n is the n-th cited fact of the prediction."""
     p = _t(spark, sf, "predictions")
@@ -124,7 +152,7 @@ def gold_semijoin(spark: SparkSession, sf: str) -> DataFrame:
     return _t(spark, sf, "examples").select("row_id", "id").join(done, "id", "left_semi")
 
 
-QUERIES = {f.__name__: f for f in (rerank_topk, sentence_select, evidence_block, facts_list, extract_claims, lexical_support, complexity_route, built_prompts, parse_output, verify_claims, decide, dedupe_facts, decided_passages, resume_antijoin, gold_semijoin)}
+QUERIES = {f.__name__: f for f in (rerank_topk, sentence_select, evidence_block, facts_list, extract_claims, lexical_support, complexity_route, built_prompts, prompt_metadata, passage_facts, stage_recalls, parse_output, verify_claims, decide, dedupe_facts, decided_passages, resume_antijoin, gold_semijoin)}
 
 _EX = "x AS (SELECT * FROM examples QUALIFY row_number() OVER (PARTITION BY id ORDER BY row_id DESC) = 1)"
 _RER = f"""{_EX}, c AS (SELECT query_id, passage_idx, max(score) best FROM retrieval_results WHERE score IS NOT NULL GROUP BY ALL),
@@ -140,7 +168,30 @@ _KEYS = " OR ".join(f"contains(lower(question), '{w}')" for w in E.Routing().key
 _CLAIMS = rf"list_filter(list_transform(string_split_regex(regexp_replace({Q.joined(Q.words('a'))}, '([.?!;])\s+', '\1' || chr(1), 'g'), chr(1)), lambda c: trim(c, ' -')), lambda c: c <> '')[1:6]"
 _DEDUP = "f AS (SELECT pred_id, question_id, f.title t, f.sentence_index i, min(pos) pos FROM (SELECT pred_id, question_id, unnest(sp) f, generate_subscripts(sp, 1) pos FROM predictions) WHERE f.title IS NOT NULL AND f.sentence_index IS NOT NULL GROUP BY ALL)"
 
+_LIMITED = "l AS (SELECT *, row_number() OVER (PARTITION BY query_id, rank ORDER BY idx) k FROM sel QUALIFY k <= CASE WHEN rank < 2 THEN 3 ELSE 2 END), nf AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank, idx) - 1 num FROM l)"
+_SHOWN = "CASE WHEN length(text) > 180 THEN text[1:180] || '...' ELSE text END"
+_BLOCKS = f"""{_LIMITED}, fa AS (SELECT query_id, 'AVAILABLE FACTS:' || chr(10) || string_agg('Fact ' || num || ': [' || coalesce(title, '') || ', ' || idx || '] ' || {_SHOWN}, chr(10) ORDER BY num) facts FROM nf GROUP BY query_id),
+nl AS (SELECT query_id, rank, string_agg(chr(10) || '  [' || idx || '] ' || {_SHOWN}, '' ORDER BY idx) lines FROM l GROUP BY ALL),
+ev AS (SELECT query_id, any_value(question) question, 'Evidence:' || chr(10) || string_agg('Passage ' || rank || ': [' || coalesce(title, '') || ']' || coalesce(lines, ''), chr(10) ORDER BY rank) evidence FROM r LEFT JOIN nl USING (query_id, rank) GROUP BY query_id)"""
+_COMPLEX = f"""p AS (SELECT query_id, any_value(question) question, max(score) FILTER (rank = 0) a, max(score) FILTER (rank = 1) b FROM r GROUP BY query_id), m AS (SELECT query_id, count(*) n FROM sel GROUP BY query_id),
+z AS (SELECT query_id, greatest(0.0, least(1.0, 0.10::DOUBLE * (length(question) > 50)::INT + 0.35::DOUBLE * ({_KEYS})::INT + 0.20::DOUBLE * CASE WHEN b IS NULL THEN 0.5 ELSE 1 - greatest(0.0, least(1.0, (a - b) / (abs(a) + 1e-6))) END + 0.35::DOUBLE * (coalesce(n, 0) > 5)::INT)) c FROM p LEFT JOIN m USING (query_id))"""
+_QUOTED = lambda t: "'" + t.replace("'", "''") + "'"
+_FILLED = lambda t: f"replace(replace({_QUOTED(t)}, '{{question}}', question), '{{facts}}', coalesce(facts, 'AVAILABLE FACTS:'))"
+_YN = f"(NOT regexp_matches(lower({Q.strip('question')}), '^({X.ENTITY_STARTS})') AND regexp_matches(lower({Q.strip('question')}), '^({X.YESNO_STARTS})'))"
+_PROMPTS = f"""{_SEL}, {_BLOCKS}, {_COMPLEX}, w AS (SELECT query_id, evidence || chr(10) || chr(10) || CASE WHEN {_YN} THEN {_FILLED(E.YESNO)} ELSE {_FILLED(E.CITATION)} END t FROM ev LEFT JOIN fa USING (query_id)),
+pr AS (SELECT query_id, CASE WHEN length(t) > 6000 THEN t[1:6000] || chr(10) || '[... truncated ...]' ELSE t END prompt, round(c, 6) complexity, CASE WHEN c > 0.5 THEN 'complex' ELSE 'simple' END route FROM w JOIN z USING (query_id))"""
+_RECALL = lambda stage, gold, got: f"SELECT '{stage}' stage, count(*) questions, round(avg(recall), 6) mean_recall, count(*) FILTER (recall >= 1) perfect, count(*) FILTER (recall <= 0) zero FROM (SELECT a.query_id, avg((h.item IS NOT NULL)::INT) recall FROM {gold} a LEFT JOIN (SELECT DISTINCT * FROM {got}) h ON h.query_id = a.query_id AND h.item = a.item GROUP BY a.query_id)"
+
 SQL = {
+    "built_prompts": f"WITH {_PROMPTS} SELECT * FROM pr",
+    "prompt_metadata": f"""WITH {_PROMPTS}, rr AS (SELECT query_id, count(*) passages, round(avg(score), 6) mean_score FROM r GROUP BY query_id) SELECT query_id, passages, coalesce(n, 0) sentences, length(prompt)::INT letters, mean_score FROM pr JOIN rr USING (query_id) LEFT JOIN m USING (query_id)""",
+    "passage_facts": f"WITH {_SEL} SELECT query_id, rank \"number\", string_agg(coalesce(title, '') || '::' || idx, '|' ORDER BY idx) facts FROM sel GROUP BY ALL",
+    "stage_recalls": f"""WITH {_SEL}, asked AS (SELECT DISTINCT query_id FROM r), g AS (SELECT id query_id, unnest(supporting_facts) f FROM x),
+gt AS (SELECT DISTINCT query_id, item FROM asked LEFT JOIN (SELECT query_id, f.title item FROM g WHERE f.title IS NOT NULL) USING (query_id)), gf AS (SELECT DISTINCT query_id, item FROM asked LEFT JOIN (SELECT query_id, f.title || '::' || f.sentence_index item FROM g WHERE f.title || '::' || f.sentence_index IS NOT NULL) USING (query_id)),
+s1 AS (SELECT query_id, title item FROM j), s2 AS (SELECT query_id, title item FROM r),
+s3 AS (SELECT sel.query_id, sel.title || '::' || (list_position(list_transform(r.sentences, lambda y: coalesce({Q.strip('y')} = sel.text OR starts_with({Q.strip('y')}, sel.text[1:50]), false)), true) - 1) item FROM sel JOIN r ON r.query_id = sel.query_id AND r.rank = sel.rank),
+s4 AS (SELECT question_id query_id, f.title || '::' || f.sentence_index item FROM (SELECT question_id, unnest(sp) f FROM predictions))
+{_RECALL('retrieval', 'gt', 's1')} UNION ALL {_RECALL('rerank', 'gt', 's2')} UNION ALL {_RECALL('sentence', 'gf', 's3')} UNION ALL {_RECALL('prediction', 'gf', 's4')}""",
     "rerank_topk": f"WITH {_RER} SELECT query_id, passage_idx, round(score, 6) score, rank FROM r",
     "sentence_select": f"WITH {_SEL} SELECT query_id, rank, idx::INT idx, round(sc, 4) score FROM sel",
     "facts_list": f"""WITH {_SEL}, l AS (SELECT *, row_number() OVER (PARTITION BY query_id, rank ORDER BY idx) k FROM sel QUALIFY k <= CASE WHEN rank < 2 THEN 3 ELSE 2 END), n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank, idx) - 1 num FROM l)

@@ -116,7 +116,19 @@ SELECT run_name, count(*) total, count(*) FILTER (ok) valid, count(*) FILTER (NO
  round(avg(({_EQ.format('pt', 'gt')})::INT) FILTER (has), 6) title_em, round(avg({_SETF1.format('pt', 'gt')}) FILTER (has), 6) title_f1, round(avg(({_SUB.format('pt', 'gt')})::INT) FILTER (has), 6) title_containment
 FROM f GROUP BY run_name"""
 
+_SPAN = lambda x: f"len({Q.words(x)}) <= 5"
+_g = Q.strip("answer")
+for _mark in ('"', "''"):
+    _g = f"regexp_replace({_g}, '^{_mark}+|{_mark}+$', '', 'g')"
+_g = Q.strip(rf"regexp_replace({Q.strip(_g)}, '\s*\([^)]*\)\s*$', '')")
+for _pattern in X.PREAMBLES:
+    _g = f"regexp_replace({_g}, '{_pattern}', '', 'i')"
+_GENERATED = rf"""WITH a AS (SELECT pred_id, {_g} a FROM predictions), b AS (SELECT pred_id, CASE WHEN {_SPAN('a')} THEN regexp_replace(a, '^(?:the|a|an)\s+', '', 'i') ELSE a END b FROM a),
+c AS (SELECT pred_id, CASE WHEN {_SPAN('b')} AND b LIKE '%.' THEN {Q.strip("regexp_replace(b, '[.]$', '')")} ELSE b END c FROM b), d AS (SELECT pred_id, CASE WHEN {_SPAN('c')} THEN regexp_replace(c, '[.,;:!?]+$', '') ELSE c END d FROM c)
+SELECT pred_id, {Q.strip(f"CASE WHEN {Q.strip('lower(d)')} IN ('yes', 'no', 'noanswer') THEN {Q.strip('lower(d)')} ELSE d END")} answer FROM d"""
+
 SQL = {
+    "normalize_generated": _GENERATED,
     "official_metrics": f"{_SCORED} SELECT run_name, count(*) n, {_AVG} FROM a GROUP BY run_name",
     "answer_scores": f"{_SCORED} SELECT pred_id, {', '.join(f'round({k}, 6) {k}' for k in O.METRICS)} FROM a",
     "custom_metrics": _CUSTOM,
