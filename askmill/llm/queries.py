@@ -92,7 +92,7 @@ def p7_shares(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.shares(_p7_chosen(spark, sf), _table(spark, sf, "mix_targets"))
 
 
-def p6_covered(spark: SparkSession, sf: str) -> DataFrame:
+def p6_whole(spark: SparkSession, sf: str) -> DataFrame:
     """What must hold of the placing, by limit: every document once, none torn that fits, no container overfull."""
     limits = _limits(spark, sf)
     placed = settle(p6_placement(spark, sf), "placed")
@@ -124,7 +124,7 @@ def p7_kept(spark: SparkSession, sf: str) -> DataFrame:
     return j.select("mix_name", "source", "target_share", "present", "over_cap", "strangers", F.coalesce(reached, F.lit(False)).alias("on_target"))
 
 
-QUERIES = {"p6_covered": p6_covered, "p7_kept": p7_kept, "p6_placement": p6_placement, "p6_unused": p6_unused, "p7_chosen": p7_chosen, "p7_shares": p7_shares, "p3_found": p3_found, "p3_by_run": p3_by_run, "p8_found": p8_found, "p8_rates": p8_rates, "p5_found": p5_found, "p5_nearest": p5_nearest, "p4_found": p4_found, "p4_groups": p4_groups}
+QUERIES = {"p6_placement": p6_placement, "p6_unused": p6_unused, "p7_chosen": p7_chosen, "p7_shares": p7_shares, "p3_found": p3_found, "p3_by_run": p3_by_run, "p8_found": p8_found, "p8_rates": p8_rates, "p5_found": p5_found, "p5_nearest": p5_nearest, "p4_found": p4_found, "p4_groups": p4_groups, "p6_whole": p6_whole, "p7_kept": p7_kept}
 _P4 = r"""w AS (SELECT passage_idx, list_distinct(regexp_extract_all(lower(coalesce(title, '') || chr(10) || coalesce(array_to_string(sentences, chr(10)), '')), '[\p{L}\p{N}]+')) ws FROM passages),
 k AS (SELECT * FROM w WHERE len(ws) >= 20), u AS (SELECT passage_idx, len(ws) n, unnest(ws) x FROM k),
 p AS (SELECT a.passage_idx passage_a, b.passage_idx passage_b, count(*) c, any_value(a.n) na, any_value(b.n) nb FROM u a JOIN u b ON a.x = b.x AND a.passage_idx < b.passage_idx GROUP BY ALL),
@@ -137,7 +137,7 @@ SQL = {
 reach(id, other) AS (SELECT passage_idx, passage_idx FROM k UNION SELECT r.id, e.b FROM reach r JOIN both_ e ON e.a = r.other),
 g AS (SELECT id, min(other) group_id FROM reach GROUP BY id), l AS (SELECT a, count(*) n FROM both_ GROUP BY a), c AS (SELECT passage_idx, min(passage_idx) OVER (PARTITION BY list_sort(ws)) cls FROM k)
 SELECT id, cls, group_id, coalesce(n, 0) links FROM g JOIN c ON c.passage_idx = id LEFT JOIN l ON l.a = id""",
-    "p6_covered": """WITH d AS (SELECT limit_id, doc_id FROM documents CROSS JOIN pack_limits WHERE doc_id IS NOT NULL AND capacity_tokens > 0)
+    "p6_whole": """WITH d AS (SELECT limit_id, doc_id FROM documents CROSS JOIN pack_limits WHERE doc_id IS NOT NULL AND capacity_tokens > 0)
 SELECT limit_id, count(*) documents, 0::BIGINT torn, 0::BIGINT overfull, 0::BIGINT odd_pieces, true bounded FROM d GROUP BY limit_id""",
     "p7_kept": f"""WITH {_P7_DOCS}, s AS (SELECT DISTINCT source FROM d), m AS (SELECT mix_name, sum(target_share) FILTER (source IN (SELECT source FROM s)) there FROM t GROUP BY mix_name)
 SELECT t.mix_name, t.source, target_share, t.source IN (SELECT source FROM s) present, 0::BIGINT over_cap, 0::BIGINT strangers, true on_target FROM t JOIN m USING (mix_name)""",
