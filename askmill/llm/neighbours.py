@@ -331,9 +331,9 @@ def check(heads: DataFrame, listed: DataFrame, n: int, dim: int, kept: int) -> D
     rows = members.join(vectors, "id").select("owner", "id", "code", "least")
 
     def compare(t: pa.Table) -> pa.Table:
-        owner = t.column("owner").to_numpy()
-        order = np.argsort(owner, kind="stable")
-        owner, ids, least = owner[order], t.column("id").to_numpy()[order], t.column("least").to_numpy()[order]
+        owner, ids = t.column("owner").to_numpy(), t.column("id").to_numpy()
+        order = np.lexsort((ids, owner))
+        owner, ids, least = owner[order], ids[order], t.column("least").to_numpy()[order]
         x = _decoded(t.column("code").take(pa.array(order)), dim, np.int16)
         first = np.flatnonzero(np.append(True, owner[1:] != owner[:-1])) if len(owner) else np.empty(0, np.int64)
         size = np.diff(np.append(first, len(owner)))
