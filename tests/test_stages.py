@@ -245,3 +245,35 @@ def test_stream_scores_each_prediction_once(spark, tmp_path):
     got = spark.read.parquet(str(tmp_path / "out"))
     assert got.count() == got.select("pred_id").distinct().count() > 0
     assert scoring.run_counts(p).count() > 0
+
+
+def test_intermediate_tables_are_cleared(spark):
+    import os
+
+    from askmill.plans import workspace
+
+    t = workspace.settle(spark.range(3), "kept")
+    folder = workspace._tables(spark).removeprefix("file://")
+    assert t.count() == 3 and os.listdir(folder)
+    other = spark.range(2)
+    workspace.clear(spark)
+    assert not os.path.exists(folder) and workspace.settle(other, "again").count() == 2
+
+
+def test_small_operators(spark):
+    from askmill.operators import passages as P
+    from askmill.operators import retrieval as R
+
+    df = spark.createDataFrame([(i, f"T{i}", ["a", None]) for i in (5, 3, 9)], "passage_idx long, title string, sentences array<string>")
+    assert [r.passage_idx for r in P.load(df, "passage_idx", 2).collect()] == [3, 5] and P.load(df, "passage_idx").count() == 3
+    c = P.Collection(df, "passage_idx")
+    assert len(c) == 3 and c[0].passage_idx == 3 and c[-1].passage_idx == 9 and [r.position for r in c] == [0, 1, 2] and repr(c) == "Collection(3 rows)"
+    with pytest.raises(IndexError):
+        c[3]
+    with pytest.raises(ValueError):
+        R.indexed(df.limit(0))
+    with pytest.raises(ValueError):
+        scoring.evaluate(spark.read.parquet("/root/testdata/sf0.001/predictions.parquet").limit(0), spark.read.parquet("/root/testdata/sf0.001/examples.parquet"))
+    m = spark.createDataFrame([("r", "a b", "a b", "x"), ("r", "", "a", "x")], "run_name string, answer string, gold_answer string, gold string")
+    got = scoring.model_similarity(m, lambda a, b: F.struct(F.lit(0.5).alias("p"), F.lit(0.6).alias("r"), F.lit(0.86).alias("f"))).first()
+    assert (got.precision, got.recall, got.mean, got.ge90, got.ge85) == (0.5, 0.6, 0.86, 0.0, 0.5)
