@@ -125,7 +125,7 @@ def shape(line: str) -> str:
     m = SHAPE.match(line)
     if m:
         return f"{m['label'].lower()}:" if m.lastgroup == "label" else m.lastgroup
-    return "short" if len(line.split()) <= SHORT else "prose"
+    return "short" if len(line.split(None, SHORT)) <= SHORT else "prose"
 
 
 def scan(text: str) -> tuple[bool, str, str, dict[str, list[int]]]:
@@ -182,8 +182,10 @@ TAIL = "id bigint, word string, suffix string, broken boolean, open string, shap
 _LINES = pa.list_(pa.struct([("shape", pa.string()), ("n", pa.int32()), ("ended", pa.int32())]))
 
 
-def tails(df: DataFrame) -> DataFrame:
-    """One row per non-blank text of (id, text): its last word, what follows it, its structure and its contexts."""
+def tails(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per non-blank text of (id, text): its last word, what follows it, its structure and its contexts, with the
+    columns to ``keep``."""
+    types, extra = dict(df.dtypes), list(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -195,18 +197,19 @@ def tails(df: DataFrame) -> DataFrame:
                 ids, edges = _tokenised([_last_lines(t) for t in ends], voc)
                 raw, contexts, _, _ = _contexts(ids, voc)
                 last = _last_words(ids, voc.arrays()[3][ids], edges)
-                keep = [i for i, t in enumerate(ends) if t]
+                some = [i for i, t in enumerate(ends) if t]
                 names = list(voc.index)
-                word = [names[ids[last[i]]] if last[i] >= 0 else None for i in keep]
-                suffix = [ends[i][ends[i].rfind(w) + len(w) :] if w else ends[i][-20:] for i, w in zip(keep, word)]
-                found = [scan(ends[i]) for i in keep]
+                word = [names[ids[last[i]]] if last[i] >= 0 else None for i in some]
+                suffix = [ends[i][ends[i].rfind(w) + len(w) :] if w else ends[i][-20:] for i, w in zip(some, word)]
+                found = [scan(ends[i]) for i in some]
                 lines = [[{"shape": k, "n": n, "ended": e} for k, (n, e) in f[3].items()] for f in found]
-                cols = [b.column(0).take(pa.array(keep, pa.int64())), word, suffix, [f[0] for f in found], [f[1] for f in found], [f[2] for f in found], lines, [len(texts[i]) for i in keep]]
-                cols += [c[np.maximum(last[keep], 0)].view(np.int64) for c in (raw, *contexts)] if keep else [[]] * 5
-                types = [pa.int64(), pa.string(), pa.string(), pa.bool_(), pa.string(), pa.string(), _LINES, pa.int32(), *[pa.int64()] * 5]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) if not isinstance(c, pa.Array) else c for c, t in zip(cols, types)], [x.split()[0] for x in TAIL.split(", ")])
+                cols = [b.column(0).take(pa.array(some, pa.int64())), word, suffix, [f[0] for f in found], [f[1] for f in found], [f[2] for f in found], lines, [len(texts[i]) for i in some]]
+                cols += [c[np.maximum(last[some], 0)].view(np.int64) for c in (raw, *contexts)] if some else [[]] * 5
+                kinds = [pa.int64(), pa.string(), pa.string(), pa.bool_(), pa.string(), pa.string(), _LINES, pa.int32(), *[pa.int64()] * 5]
+                rest = [b.column(2 + i).take(pa.array(some, pa.int64())) for i in range(len(extra))]
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, t) if not isinstance(c, pa.Array) else c for c, t in zip(cols, kinds)), *rest], [*(x.split()[0] for x in TAIL.split(", ")), *extra])
 
-    return df.select("id", "text").mapInArrow(run, TAIL)
+    return df.select("id", "text", *extra).mapInArrow(run, ", ".join([TAIL, *(f"{c} {types[c]}" for c in extra)]))
 
 
 def _last_lines(text: str) -> str:

@@ -49,18 +49,15 @@ def piles(bare: DataFrame) -> DataFrame:
     return by.withColumn("near", near).where((F.col("k") >= PILE) & (F.col("k") * 2 * AROUND >= TIMES * F.greatest("near", F.lit(1)))).select("src", "n")
 
 
-def baselines(found: DataFrame) -> DataFrame:
-    """(src, shape, rate): share of the lines of each shape that end with a terminator, by source (each text once).
+def baselines(tail: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((src, shape, n, ended), (shape, all_n, all_ended)): lines of each shape and those that end with a terminator, by source
+    and over all of them; each text once.
 
-    Summed over (src, copy) first, so a group of copies is one row; a source with few such lines takes the rate of all.
-    A row per source and shape.
+    Summed over (src, copy) first, so a group of copies is one row.
     """
-    once = found.groupBy("src", "copy").agg(F.first("lines").alias("lines"))
-    by = once.select("src", F.inline("lines")).groupBy("src", "shape").agg(F.sum("n").alias("n"), F.sum("ended").alias("ended"))
-    every = by.groupBy("shape").agg(F.sum("n").alias("all_n"), F.sum("ended").alias("all_ended"))
-    sources = found.select("src").distinct().crossJoin(F.broadcast(every))
-    own = sources.join(by, sources["src"].eqNullSafe(by["src"]) & (sources["shape"] == by["shape"]), "left").select(sources["src"], sources["shape"], "n", "ended", "all_n", "all_ended")
-    return own.select("src", "shape", F.when(F.col("n") >= LINES, F.col("ended") / F.col("n")).when(F.col("all_n") >= LINES, F.col("all_ended") / F.col("all_n")).alias("rate"))
+    once = tail.groupBy("src", "copy").agg(F.first("lines").alias("lines"))
+    by = settle(once.select("src", F.inline("lines")).groupBy("src", "shape").agg(F.sum("n").alias("lines_n"), F.sum("ended").alias("ended")), "baselines")
+    return by, by.groupBy("shape").agg(F.sum("lines_n").alias("all_n"), F.sum("ended").alias("all_ended"))
 
 
 def cut_word(silent: int = LETTERS) -> Column:
@@ -83,14 +80,17 @@ def judge(df: DataFrame, id_col: str, text: str, source: str) -> DataFrame:
     """(id, src, n, cut, why): every non-blank text with its verdict."""
     docs = df.select(F.col(id_col).alias("id"), F.col(text).alias("text"), source_name(F.col(source)).alias("src"))
     docs = docs.where(F.col("id").isNotNull() & F.col("text").isNotNull())
-    tail = settle(tails.tails(docs), "tails")
-    found = tails.judged(tail, tails.counts(docs, tail)).join(docs.select("id", "src", F.xxhash64("text").alias("copy")), "id")
+    tail = settle(tails.tails(docs.withColumn("copy", F.xxhash64("text")), ("src", "copy")), "tails")
+    own, every = baselines(tail.select("src", "copy", "lines"))
+    found = tails.judged(tail.drop("lines"), tails.counts(docs, tail))
     found = settle(found.withColumn("bare", F.coalesce(F.col("suffix").rlike(BARE), F.lit(False))).drop(*(f"c{i}" for i in range(tails.ORDERS + 1))), "judged")
     at_limit = piles(found.where("bare")).withColumn("at_limit", F.lit(True))
-    base = settle(baselines(found), "baselines")
     # few rows per source: AQE broadcasts what is small by measure
-    j = found.join(at_limit, ["src", "n"], "left").drop("lines")
-    j = j.join(base.withColumnsRenamed({"src": "b_src", "shape": "b_shape"}), j["src"].eqNullSafe(F.col("b_src")) & (j["shape"] == F.col("b_shape")), "left")
+    j = found.join(at_limit, ["src", "n"], "left")
+    own = own.withColumnsRenamed({"src": "b_src", "shape": "b_shape"})
+    j = j.join(own, j["src"].eqNullSafe(F.col("b_src")) & (j["shape"] == F.col("b_shape")), "left").join(every, "shape", "left")
+    rate = F.when(F.col("lines_n") >= LINES, F.col("ended") / F.col("lines_n")).when(F.col("all_n") >= LINES, F.col("all_ended") / F.col("all_n"))
+    j = j.withColumn("rate", rate)
     unclear = F.coalesce(F.col("p_end") < 0.5, F.lit(True))
     odd_word, odd_place = cut_word(silent=1), cut_place(ENDS)  # the word stands as it never does inside a text
     # dots after the word may be the writer's
