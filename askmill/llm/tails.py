@@ -42,6 +42,8 @@ STRUCTURE = re.compile(
     |(?P<tag></?[a-zA-Z][^<>\n]*>)|(?P<fence>```)|(?P<paragraph>\n[^\S\n]*\n\s*)|(?P<line>\n)|(?P<quote>")|(?P<open>[(\[{“«„])|(?P<close>[)\]}”»])""",
     re.VERBOSE,
 )
+#: The characters that tokens begin with.
+_STARTS = re.compile(r"""[\\&<\ufffd\ud800-\udfff%ÃÂâ`\n"(\[{“«„)\]}”»]""")
 _VOID = set("br hr img input meta link wbr".split())
 #: A line ends with a terminator if only closing marks follow it.
 TERMINATED = re.compile(r"""[.!?…。！？][\s"'”’“»)\]}*_>]*\Z""")
@@ -133,7 +135,12 @@ def scan(text: str) -> tuple[bool, str, str, dict[str, list[int]]]:
     stack: list[str] = []
     half, start = False, 0
     lines: dict[str, list[int]] = {}
-    for m in STRUCTURE.finditer(text):
+    read = 0
+    for first in _STARTS.finditer(text):
+        m = STRUCTURE.match(text, first.start()) if first.start() >= read else None
+        if m is None:
+            continue
+        read = m.end()
         what, c = m.lastgroup, m.group()
         if what == "open" and not (c == "“" and "“" in stack):  # which closes „
             stack.append(_PAIRS[c])
