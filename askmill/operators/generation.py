@@ -32,13 +32,16 @@ def _ask(df: DataFrame, prompt: Column, make: Factory, model: str, temperature:
 
 
 def _routed(df: DataFrame, prompt: Column, make: Factory, models: dict[str, tuple[str, float]], out: str) -> DataFrame:
-    """Replies of the model that each row's route names."""
-    parts = [_ask(df.where(F.col("route") == name), prompt, make, model, t, out) for name, (model, t) in models.items()]
-    return parts[0].unionByName(parts[1])
+    """Replies of the model that each row's route names, asked for in one pass."""
+    df = settle(df.withColumn("_q", prompt), "asked")
+    parts = [df.where(F.col("route") == name).withColumn(out, completer(make, model, t)(F.col("_q"))) for name, (model, t) in models.items()]
+    return settle(parts[0].unionByName(parts[1]).drop("_q"), "replies")
 
 
 def _repaired(df: DataFrame, broken: Column, text: str, make: Factory, models: dict[str, tuple[str, float]]) -> DataFrame:
-    """Broken rows with the facts (and the answer that comes with them) of a second, plainer question about ``text``."""
+    """Broken rows with the facts (and the answer that comes with them) of a second, plainer question about ``text``; ``df`` is a written table."""
+    if df.where(broken).isEmpty():
+        return df
     again = _routed(df.where(broken), F.concat(F.lit(REPAIR), F.substring(text, 1, 500)), make, models, "_r")
     again = again.withColumn("_p", parse_response(F.col("_r"), F.col("mapping")))
     found = F.size("_p.facts") > 0

@@ -79,6 +79,8 @@ def predict(questions: DataFrame, candidates: DataFrame, make: Factory, settings
     def again(done: DataFrame, when, name: str, with_answer: bool) -> DataFrame:
         """The rows that ``when`` picks, generated and checked once more with feedback; they stand even if they score less."""
         bad = done.where(when)
+        if bad.isEmpty():  # of written tables: cheaper than the passes it may spare
+            return done
         asked = prompts.join(bad.select("query_id", F.col("answer").alias("_last")), "query_id")
         asked = G.with_feedback(asked, "_last" if with_answer else None).drop("_last")
         return done.where(~when).unionByName(checked(attempt(asked), name), allowMissingColumns=True)
