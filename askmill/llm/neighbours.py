@@ -17,7 +17,8 @@ The arrays are cut into ranges of about SPAN rows at quantiles of the hash strin
 vectors gives the bounds, every vector is indexed; at most RANGES a tree).  A vector whose node goes on in the next
 range visits that range too.  A hash string that fills several ranges is spread over them by id.  So no task gets more
 than a range and its visitors, however the data are skewed, and only the bounds are the driver's.  The descent moves ids
-and hash strings, the search 8-bit codes, the check 16-bit codes (cosines are good to about 1e-5).
+and hash strings, the search 16-bit codes (cosines are good to about 3e-5), the check the vectors as stored, whose similarities
+are doubles.
 
 Equal vectors are collapsed to one class before hashing, so a group of copies can't fill a node.  The loss of accuracy is
 measured in tests and README (recall against brute force); CANDIDATES counts for each doubling of the collection.
@@ -47,41 +48,57 @@ KEPT = 10
 SPAN, RANGES, SAMPLE = 16_384, 4096, 1 << 18
 #: Node sizes are noted at powers of two up to 2**STEPS.
 STEPS = 16
-#: Cosines of 8-bit codes are good to about this.
-ROUGH = 0.006
+#: Cosines of 16-bit codes are good to better than this.
+ROUGH = 1e-4
 #: Rows of one Python call where rows are gathered by id.
 GATHER = 200_000
 SEED = 20
 
 
 def _matrix(lists: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row numbers, unit vectors) of the usable vectors."""
+    """(row numbers, vectors) of the usable vectors."""
     lengths = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
     rows = np.flatnonzero(lengths == dim)
     flat = lists.take(pa.array(rows)).flatten()
-    x = flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
-    big = np.abs(np.nan_to_num(x, nan=0, posinf=0, neginf=0)).max(axis=1, initial=0)
-    good = np.isfinite(x).all(axis=1) & (big > 0)
-    rows, x = rows[good], x[good] / big[good, None]
-    return rows, (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    x = flat.to_numpy(zero_copy_only=False).astype(np.float32).reshape(-1, dim)
+    good = np.isfinite(x).all(axis=1) & (x != 0).any(axis=1)
+    return rows[good], x[good]
+
+
+def _dots(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Dot products along the last axis, added in the order of the elements."""
+    s = x[..., 0] * y[..., 0]
+    for d in range(1, x.shape[-1]):
+        s = s + x[..., d] * y[..., d]
+    return s
+
+
+def _units(x: np.ndarray) -> np.ndarray:
+    x = x.astype(np.float64)
+    return x / np.sqrt(_dots(x, x))[..., None]
 
 
 def usable(df: DataFrame, id_col: str, vector: str, dim: int) -> DataFrame:
-    """(id, v, fp): unit vectors as float32 bytes, with a fingerprint."""
+    """(id, v, fp): vectors as float32 bytes, with a fingerprint of the unit vector."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows, x = _matrix(b.column(1), dim)
-            raw = [r.tobytes() for r in x]
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows)), pa.array(raw, pa.binary()), pa.array([hashlib.blake2b(r, digest_size=16).digest() for r in raw], pa.binary())], ["id", "v", "fp"])
+            prints = [hashlib.blake2b(r.tobytes(), digest_size=16).digest() for r in _units(x).astype(np.float32) + 0]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows)), _blobs(x), pa.array(prints, pa.binary())], ["id", "v", "fp"])
 
     return df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint"), F.col(vector).cast("array<float>")).mapInArrow(run, "id bigint, v binary, fp binary")
 
 
-def _unpack(column: pa.Array, dim: int) -> np.ndarray:
+def _stored(column: pa.Array, dim: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.float32).reshape(-1, dim)
 
 
+def _unpack(column: pa.Array, dim: int) -> np.ndarray:
+    """Unit vectors."""
+    return _units(_stored(column, dim)).astype(np.float32)
+
+
 def rotations(dim: int, trees: int) -> np.ndarray:
     """Random orthogonal directions, dim x (trees * BITS); several rotations a tree where dim is less."""
     rng = np.random.default_rng(SEED)
@@ -220,7 +237,7 @@ def ascend(grown: DataFrame, n: int, trees: int, enough: int, bits: int) -> Data
 
 
 def search(placed: DataFrame, dim: int, planes: np.ndarray, trees: int, bounds: np.ndarray, kept: int, reach: int) -> DataFrame:
-    """(id, others, sims): for each tree the best candidates of each row of (id, v, depth), by 8-bit codes."""
+    """(id, others, sims): for each tree the best candidates of each row of (id, v, depth), by 16-bit codes."""
     bits = planes.shape[1] // trees
     ranges = bounds.shape[1] + 1
 
@@ -229,7 +246,7 @@ def search(placed: DataFrame, dim: int, planes: np.ndarray, trees: int, bounds:
             for at in range(0, whole.num_rows, 4000):
                 b = whole.slice(at, 4000)
                 ids, depth, x = b.column(0).to_numpy(), b.column(2).to_numpy(), _unpack(b.column(1), dim)
-                h, codes = _hashes(x, planes, trees), _blobs(_codes(x, np.int8))
+                h, codes = _hashes(x, planes, trees), _blobs(_codes(x, np.int16))
                 free = (bits - depth).astype(np.int64)
                 for t in range(trees):
                     own = _ranges(bounds[t], h[:, t], ids)
@@ -243,7 +260,7 @@ def search(placed: DataFrame, dim: int, planes: np.ndarray, trees: int, bounds:
     def best(t: pa.Table) -> pa.Table:
         t = t.take(pa.array(np.lexsort((t.column("id").to_numpy(), t.column("h").to_numpy()))))
         ids, h, depth, visits = (t.column(c).to_numpy() for c in ("id", "h", "depth", "visits"))
-        x = _decoded(t.column("code"), dim, np.int8)
+        x = _decoded(t.column("code"), dim, np.int16)
         points = np.flatnonzero(~visits)
         ph, px, pid = h[points], x[points], ids[points]
         free = (bits - depth).astype(np.int64)
@@ -322,34 +339,30 @@ def lists(found: DataFrame, n: int, trees: int, k: int, kept: int) -> DataFrame:
 def check(heads: DataFrame, listed: DataFrame, n: int, dim: int, kept: int) -> DataFrame:
     """(a, b, sim): exact similarities within each list and its owner, as far as they may matter to ``a``."""
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), _blobs(_codes(_unpack(b.column(1), dim), np.int16)), b.column(2)], ["id", "code", "least"])
-
-    vectors = heads.join(listed.select("id", "least"), "id").select("id", "v", "least").mapInArrow(encode, "id bigint, code binary, least float")
+    vectors = heads.join(listed.select("id", "least"), "id").select("id", "v", "least")
     members = listed.select(F.col("id").alias("owner"), F.explode(F.concat(F.array("id"), "near")).alias("id"))
-    rows = members.join(vectors, "id").select("owner", "id", "code", "least")
+    rows = members.join(vectors, "id").select("owner", "id", "v", "least")
 
     def compare(t: pa.Table) -> pa.Table:
         owner, ids = t.column("owner").to_numpy(), t.column("id").to_numpy()
         order = np.lexsort((ids, owner))
         owner, ids, least = owner[order], ids[order], t.column("least").to_numpy()[order]
-        x = _decoded(t.column("code").take(pa.array(order)), dim, np.int16)
+        x = _stored(t.column("v"), dim)[order]
         first = np.flatnonzero(np.append(True, owner[1:] != owner[:-1])) if len(owner) else np.empty(0, np.int64)
         size = np.diff(np.append(first, len(owner)))
         out = []
         for m in np.unique(size):  # lists of one length at a time
             for at in np.array_split(first[size == m], -(-int((size == m).sum()) // 2048)):
                 rows = at[:, None] + np.arange(m)
-                y = x[rows]
-                s = np.einsum("gid,gjd->gij", y, y, optimize=True)
+                y = _units(x[rows])
+                s = _dots(y[:, :, None], y[:, None])
                 s[:, np.arange(m), np.arange(m)] = -2
                 g, i, j = np.nonzero(s >= least[rows][:, :, None] - ROUGH)
                 keep = s[g, i, j] > -1.5
                 g, i, j = g[keep], i[keep], j[keep]
                 out.append((ids[rows[g, i]], ids[rows[g, j]], s[g, i, j]))
-        cols = [np.concatenate(c) for c in zip(*out)] if out else [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.float32)]
-        return pa.table({"a": pa.array(cols[0], pa.int64()), "b": pa.array(cols[1], pa.int64()), "sim": pa.array(cols[2].astype(np.float64))})
+        cols = [np.concatenate(c) for c in zip(*out)] if out else [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
+        return pa.table({"a": pa.array(cols[0], pa.int64()), "b": pa.array(cols[1], pa.int64()), "sim": pa.array(cols[2])})
 
     return _gathered(rows, "owner", n, kept + 1).applyInArrow(compare, "a bigint, b bigint, sim double")
 

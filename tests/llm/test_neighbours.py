@@ -96,3 +96,15 @@ def test_largest_against_sorting():
         for i in range(17):
             want = [] if i == 3 else sorted(s[i], reverse=True)[:10]
             assert s[i, col[row == i]].tolist() == [float(v) for v in want]
+
+
+def test_close_neighbours_are_told_apart(spark):
+    """Sixty vectors whose cosines differ by 1e-5: less than 8-bit codes, and some lists of ten by them, can tell."""
+    rng = np.random.default_rng(11)
+    base, off = np.linalg.qr(rng.standard_normal((64, 2)))[0].T
+    angles = np.arccos(1 - 1e-5 * np.arange(60))
+    x = (np.cos(angles)[:, None] * base + np.sin(angles)[:, None] * off)[rng.permutation(60)].astype(np.float32)
+    x = np.concatenate([base[None].astype(np.float32) * 3, x[np.abs(x @ base.astype(np.float32)) < 1 - 5e-6], rng.standard_normal((200, 64)).astype(np.float32)])
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    got = {(a, b) for a, b, _ in run(spark, rows_of(x), 64, 5)}
+    assert got == brute(u, 5)
