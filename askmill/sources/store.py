@@ -70,6 +70,8 @@ def load_index(spark: SparkSession, path: str, corpus: str) -> tuple[DataFrame,
             raise
         return None
     passages, weights, vectors = (spark.read.parquet(f"{path}/{corpus}/{n}") for n in ("passages", "weights", "vectors"))
+    if "terms" not in weights.columns:  # saved in an earlier form
+        return None
     if passages.count() != about["num_passages"]:
         raise ValueError(f"the saved index of {corpus} is not whole")
     return passages, weights, vectors

@@ -85,3 +85,33 @@ def test_copies_take_one_place_in_both_hops(spark, tmp_path):
     assert len(got) == 20 and len(set(got)) == 20 and [i for i in got if i < 200] == [0]
     firsts = {r.passage_idx: r.first for r in P.first_of(spark.read.parquet(f"{tmp_path}/passages.parquet")).collect()}
     assert firsts == {i: 0 for i in range(150)} | {200 + i: 200 + i for i in range(30)}
+
+
+def test_keyword_ranking_in_many_blocks_parts_and_passes(spark, monkeypatch):
+    """Copies of documents and questions, frequent and rare terms: the rows of one block in one pass."""
+    assert R._spread(720_000, 177_000) == (6, 2)  # a document travels to few parts, however many questions there are
+    rng = np.random.default_rng(4)
+    words = np.array(["the", "of", *"abcdefghijklmnopqrst"])
+    p = np.array([6, 5] + [1] * 20) / 31
+    docs = [(i, " ".join(rng.choice(words, rng.integers(0, 6), p=p))) for i in range(200)]
+    docs += [(200 + i, t) for i, t in docs[:90]]
+    d = spark.createDataFrame(docs, "id long, text string")
+    q = spark.createDataFrame([(i, " ".join(rng.choice(words, rng.integers(0, 5), p=p))) for i in range(40)] + [(40, "The of zz THE"), (41, "the of zz the"), (42, "zz"), (43, None)], "query_id long, text string")
+    rank = lambda: sorted(tuple(r) for r in R.best_by_keywords(R.weighted(d, "id", F.col("text")), d, "id", q, "query_id", F.col("text"), 7).select("query_id", "id", "score", "rank").collect())
+    want = rank()
+    assert len(want) == 44 * 7 and [x[1] for x in want if x[0] == 42] == list(range(7))
+    for name, value in {"PASSAGE_BLOCK": 50, "QUESTION_BLOCK": 9, "QUESTIONS": 25, "FREQUENT": 3}.items():
+        monkeypatch.setattr(R, name, value)
+    assert rank() == want
+
+
+def test_vector_ranking_with_ties_in_many_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    x = np.repeat(rng.standard_normal((40, 8)), 4, axis=0)
+    v = R.usable_vectors(spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id long, e array<double>"), "id", "e", 8)
+    monkeypatch.setattr(R, "PASSAGE_BLOCK", 30)
+    monkeypatch.setattr(R, "QUESTION_BLOCK", 50)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = np.round(u @ u.T, 6)
+    want = {(i, j, r) for i in range(160) for r, j in enumerate(np.lexsort((np.arange(160), -s[i]))[:6])}
+    assert {(r.query_id, r.id, r["rank"]) for r in R.best_by_vectors(v, v.select(F.col("id").alias("query_id"), "v"), 6, 8).collect()} == want
