@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 
 #: White space as Python's str.strip knows it, as a Java character class.
 SPACE = r"[\s\p{Z}\x{1c}-\x{1f}\x{85}]"
+#: The same characters one by one.
+BLANKS = "".join(map(chr, [*range(0x9, 0xE), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 
 
 def strip(c: Column) -> Column:
     """Without white space at the ends (Spark's trim removes blanks only)."""
-    return F.regexp_replace(c, rf"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(c, F.lit(BLANKS))
 
 
 def let(c: Column, use: Callable[[Column], Column]) -> Column:
@@ -55,7 +57,8 @@ def verifier_terms(c: Column) -> Column:
 
 def overlap_terms(c: Column) -> Column:
     """Distinct words reduced to lower-case ASCII letters and digits."""
-    return F.array_distinct(F.filter(F.transform(words(c), lambda t: F.regexp_replace(F.lower(t), "[^a-z0-9]+", "")), lambda t: t != ""))
+    plain = F.regexp_replace(F.lower(c), rf"[^a-z0-9{SPACE[1:-1]}]+", "")
+    return F.array_distinct(F.filter(F.split(plain, rf"{SPACE}+"), lambda t: t != ""))
 
 
 def normalize_official(c: Column) -> Column:

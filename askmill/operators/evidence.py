@@ -21,8 +21,7 @@ Scorer = Callable[[Column, Column], Column]
 
 def lexical_scorer(question: Column, text: Column) -> Column:
     """Share of the question's words that the text has."""
-    q, t = X.overlap_terms(question), X.overlap_terms(text)
-    return S.ratio(F.size(F.array_intersect(q, t)), F.size(q))
+    return X.let(X.overlap_terms(question), lambda q: S.ratio(F.size(F.array_intersect(q, X.overlap_terms(text))), F.size(q)))
 
 
 @dataclass(frozen=True)

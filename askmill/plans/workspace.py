@@ -48,4 +48,5 @@ def settle(df: DataFrame, name: str, partition_by: list[str] | None = None) -> D
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
+    spark.sparkContext._jvm.System.gc()  # frees the shuffle files of what is written now; else they stay until the driver happens to collect garbage
     return spark.read.schema(df.schema).parquet(path)

@@ -130,3 +130,43 @@ def test_similar_titles_against_brute_force(spark, monkeypatch):
     found = R.similar_titles(e, spark.createDataFrame([(b,) for b in names], "title string"))
     assert {(r.entity, r.title, round(r.score, 9)) for r in found.collect()} == want
     assert "REPARTITION_BY_NUM" in found._jdf.queryExecution().toString()
+
+
+def test_most_similar_names_at_once(monkeypatch):
+    """In rounds, with letters that have no bit, one by one where bits don't suffice; each pair is compared at most once."""
+    rng = np.random.default_rng(12)
+    parts = ["The", "of", "Silver", "Silvr", "Velmorra", "Velmora", "Ïgling", "Iglow", "(film)", "63", "x" * 40, "ab" * 25, "Kvarost", "Kvarst", "Σ"]
+    word = lambda: "".join(rng.choice(list("abcdeéZ"), rng.integers(1, 9)))
+    text = lambda: " ".join(rng.choice([*parts, word(), word()], rng.integers(1, 5)))
+    names, own = sorted({text() for _ in range(400)}), sorted({text() for _ in range(150)} | {"", "  ", "q"})
+    want = [(a, b, -r) for a in own for r, b in sorted((-R.token_set_ratio(a, b), b) for b in names)[:3] if r <= -70]
+    assert sorted(R._most_similar(own, R._Texts(names), 70.0, 3)) == sorted(want)
+    compared = []
+    similarity = R._similarity
+    monkeypatch.setattr(R, "_similarity", lambda a, b, x, y: (compared.extend(zip(x.tolist(), y.tolist())), similarity(a, b, x, y))[1])
+    for sets, first, pairs in ((2, 1, 7), (4, 500, 64)):
+        for name, value in {"SETS": sets, "FIRST": first, "PAIRS": pairs}.items():
+            monkeypatch.setattr(R, name, value)
+        compared.clear()
+        assert sorted(R._most_similar(own, R._Texts(names), 70.0, 3)) == sorted(want)
+        assert len(set(compared)) == len(compared) < len(own) * len(names)
+
+
+def test_second_hop_joins_few_passages_of_a_frequent_title(spark):
+    """A title of many passages: as many are joined as can have a place, hop 1 among them or not."""
+    hop1 = spark.createDataFrame([(1, i, 0.04 - i / 1000, i, 0.0, 0) for i in range(3)], "query_id long, id long, score double, rank int, confidence double, hop int")
+    entities = spark.createDataFrame([(1, 0, "Velmorra"), (1, 1, "Silver Barn")], "query_id long, pos int, entity string")
+    titles = spark.createDataFrame([("Velmorra",), ("Silver Barns",)], "title string")
+    members = spark.createDataFrame([("Velmorra", i) for i in range(1, 60)] + [("Silver Barns", 100)], "title string, id long")
+    again = spark.createDataFrame([(1, 50, 0.045, 0, 0.0, 0)], hop1.schema)
+    found = R.second_hop(hop1, entities, titles, members, again, k=3)
+    assert [(r.id, r.hop) for r in found.orderBy("rank").collect()] == [(3, 1), (4, 1), (5, 1)]
+    joined = R.second_hop(hop1, entities, titles, members, again, k=3)
+    assert "_n#" in joined._jdf.queryExecution().optimizedPlan().toString() and "<= 6" in joined._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_each_group_has_a_partition_of_its_own(spark):
+    rows = spark.range(600).select((F.col("id") % 5).cast("int").alias("a"), (F.col("id") % 4).cast("int").alias("b"))
+    groups = R._apiece(rows, ("a", 5), ("b", 4)).applyInArrow(lambda t: t.slice(0, 1), "a int, b int, _slot int")
+    found = groups.select("a", "b", F.spark_partition_id().alias("p")).collect()
+    assert len(found) == 20 and len({r.p for r in found}) == 20
